@@ -1,0 +1 @@
+"""Readers and writers. Formats are declared with schemas; nothing is inferred."""
