@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+OWN_MARK = "\ud800"  # a lone surrogate: UTF-8 text has none
 UNKNOWN_PENALTY = 10.0
 CACHE = 300_000  # parts; as many again that were used before these
 _NEVER = -1e8  # pieces with lower scores are there for other uses than scoring
@@ -72,7 +73,7 @@ class Pieces:
             pattern = f"{MARK}*[{held}{rest}]+|{MARK}+|[^{MARK}{held}{rest}]"
         else:  # nor does any piece hold letters beside other signs
             pattern = f"{MARK}*(?:[{held}]+|[{rest}]+)|{MARK}+|[^{MARK}{held}{rest}]"
-        # a text's own space marks come as "\0", which no piece holds
+        # a text's own space marks come as OWN_MARK, which no piece and no text holds
         self.parts = re.compile(pattern).findall
         self.cache: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
@@ -86,7 +87,7 @@ class Pieces:
             b, found = best[i], get(part[i], 0)
             if not found:
                 c = part[i]
-                raw = (MARK if c == "\0" else " " if c == MARK else c).encode()
+                raw = (MARK if c == OWN_MARK else " " if c == MARK else c).encode()
                 into[i + 1].append((self.unknown, i, tuple([self.bytes[x] for x in raw])))
                 if b + self.unknown > best[i + 1]:
                     best[i + 1] = b + self.unknown
@@ -163,7 +164,7 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """The parts of a text, with a space mark put before it."""
-        return self.parts(MARK + text.replace(MARK, "\0").replace(" ", MARK)) if text else []
+        return self.parts(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
 
     def encode(self, text: str | None) -> tuple[bytes, float, float]:
         """Packed ids of the best segmentation of a text, its score, and the score of the second best (nan if there is none)."""

@@ -55,6 +55,11 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(_CRLF * 2)[2]
 
 
+def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI (or local path), and the path there."""
+    return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
 def _pack(raw: bytes) -> bytes:
     c = zlib.compressobj(3, zlib.DEFLATED, 31)
     return c.compress(raw) + c.flush()
@@ -86,8 +91,8 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = FILE_BYTES)
                 if out is None or at >= file_bytes:
                     if out:
                         out.close()
-                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"  # a repeated task writes a file of its own
-                    out, at = disk.open_output_stream(name, compression=None), 0
+                    file = f"{uuid.uuid4().hex}.warc.gz"  # a repeated task writes a file of its own
+                    name, out, at = f"{folder}/{file}", disk.open_output_stream(f"{root}/{file}", compression=None), 0
                 d = digest(html)
                 raw = _pack(record(page, url, html, d, first, len(html) >= least_bytes and first is not None and page != first))
                 out.write(raw)
@@ -103,9 +108,8 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = FILE_BYTES)
             out.close()
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    scheme = folder.split(":", 1)[0]
     index = plan(pages).mapInArrow(run, f"file string, offset bigint, length bigint, page_id {kind}, url string, digest string")
-    return save(index.withColumn("scheme", F.lit(scheme)), "warc-index")[0]
+    return save(index, "warc-index")[0]
 
 
 def coalesce(rows: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, list[int]]]:
@@ -130,7 +134,7 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle, opened = None, None
         for b in batches:
-            files, schemes = b.column("file").to_pylist(), b.column("scheme").to_pylist()
+            files = b.column("file").to_pylist()
             places = list(zip(b.column("offset").to_pylist(), b.column("length").to_pylist()))
             i, n = 0, b.num_rows
             while i < n:
@@ -140,7 +144,7 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 if opened != files[i]:
                     if handle:
                         handle.close()
-                    disk, path = fs.FileSystem.from_uri(f"{schemes[i]}://{files[i]}")
+                    disk, path = _place(files[i])
                     handle, opened = disk.open_input_file(path), files[i]
                 for start, end, members in coalesce(places[i:j]):
                     handle.seek(start)
@@ -168,7 +172,7 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
             handle.close()
 
     kind = index.schema["page_id"].dataType.simpleString()
-    placed = index.select("scheme", "file", "offset", "length", "page_id", "url", (F.col("offset") / BLOCK).cast("long").alias("block"))
+    placed = index.select("file", "offset", "length", "page_id", "url", (F.col("offset") / BLOCK).cast("long").alias("block"))
     placed = placed.repartition("file", "block").sortWithinPartitions("file", "offset").drop("block")
     schema = f"page_id {kind}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload
     return placed.mapInArrow(run, schema)
