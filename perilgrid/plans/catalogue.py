@@ -520,7 +520,8 @@ def nonlinear_tradeoff(spark, d):
 def multi_criteria(spark, d):
     seg = fx.segments(spark, d)
     n = seg.groupBy("corridor", "route").agg(F.count("*").alias("n"))
-    n = n.select("corridor", "route", (F.col("n") / F.sum("n").over(Window.partitionBy("corridor"))).alias("yr"), _each((0.0, 0.2, 0.4)))
+    n = n.withColumn("yr", F.col("n") / F.sum("n").over(Window.partitionBy("corridor")))
+    n = n.select("corridor", "route", "yr", _each((0.0, 0.2, 0.4)))  # not in one step: the sum is over routes, not over values of e
     s = routes.trade_off(_expected(spark, d, _mark).join(routes.summary(seg), ["corridor", "route"]), 0.7).join(n, ["corridor", "route"])
     return routes.choose(s.withColumn("score", F.col("value") + F.col("e") * F.try_divide(F.lit(1.0), 1 - F.col("yr"))), None, "score", ("e", "corridor", "h")).select("e", "corridor", "h", "route")
 
