@@ -30,12 +30,17 @@ def _bucket(level: int) -> Column:
     return F.shiftright("hash", TOTAL_BITS - BITS * level)
 
 
+def source_key(source_col: str) -> Column:
+    """A text that stands for a source, null or not."""
+    source = F.col(source_col).cast("string")
+    return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("="), source))
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, key, size, hash): key is a text that stands for the source, null or not."""
-    source = F.col(source_col).cast("string")
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.when(source.isNull(), "n").otherwise(F.concat(F.lit("="), source)).alias("key"),
+        source_key(source_col).alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         _hash(F.col(id_col)).alias("hash"),
     )

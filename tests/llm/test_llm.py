@@ -277,6 +277,20 @@ def test_pieces_round_trip(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
 
+def test_mix_stage_with_one_id_in_two_sources(spark):
+    import corpus_pipeline as c
+
+    rows = [(i, "some words " * (1 + i % 5), "en", s) for i in range(60) for s in ("a", "b", None)]
+    d = docs(spark, rows)
+    want = {(r["doc_id"], r["key"]): r["taken"] // r["size"] for r in mixing.mix(d).collect()}
+    got = {}
+    for r in c.mix_sources(spark, d, "").collect():
+        key = (r["doc_id"], "n" if r["source"] is None else "=" + r["source"])
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert len(set(want.values())) > 1
+
+
 @needs_vocabulary
 def test_pipeline(spark):
     import corpus_pipeline as c
