@@ -1,19 +1,20 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
 Every window of 50 words has a *leader*: the least hash among its 8-word grams. Consecutive windows
-of a document with one leader form a *run* (about 22 windows), stored as one row: the leader, a hash
-of all words that the run covers, the document and the place. Equal windows have equal leaders, so
+of a document with one leader form a *run* (about 22 windows), stored as one row: the leader, a
+digest of all words that the run covers, the document and the place. Equal windows have equal leaders, so
 duplicates can only lie in runs with a common leader:
 
 * runs with equal leader and equal words: all windows of the later document's run are duplicates;
 * runs with equal leader and different words (the edge of a shared passage): their windows are
-  hashed one by one, and equal windows are found by hash. Only the first document of each class of
+  taken one by one, and equal windows are found by digest. Only the first document of each class of
   equal runs takes part, so a passage that many documents share isn't compared pair by pair.
 
 The index keeps, for each class, its first run, in immutable sorted tables. A batch of new
 documents is merge-joined with each table, its new classes become one more table, and when there
-are more than ``fanout`` tables they are merged into one. Matches rest on 64 bits of the leader and
-64 independent bits of the window or run.
+are more than ``fanout`` tables they are merged into one. Leaders only find candidates. Each match is verified
+on 128 bits of BLAKE2b of the words themselves, joined by one space, so no chosen or chance collision
+of the fast hashes removes a word.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
-_BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+_BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -72,16 +73,34 @@ def _prefix(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s, inverse
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of all texts, and the index of each text's first word (one more at the end)."""
-    joined = b"\n".join(t or b"" for t in texts)
+@dataclass
+class Words:
+    """The words of some texts, each text rewritten with one space between words."""
+
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray  # the index of each text's first word, and one more at the end
+
+    def hashes(self) -> np.ndarray:
+        s, inverse = _prefix(_BYTE[np.frombuffer(self.data, np.uint8)], 0)
+        return _mix(_spans(s, inverse, self.start, self.end) + (self.end - self.start).astype(np.uint64))
+
+    def digests(self, at: np.ndarray, n: np.ndarray) -> pa.Array:
+        """Digests of n[i] words of one text from word at[i] on."""
+        view, blake = memoryview(self.data), hashlib.blake2b
+        spans = zip(self.start[at].tolist(), self.end[at + n - 1].tolist())
+        return pa.array([blake(view[a:b], digest_size=16).digest() for a, b in spans], pa.binary())
+
+
+def words_of(texts: list[bytes | None]) -> Words:
+    plain = [b" ".join((t or b"").split()) for t in texts]
+    joined = b"\n".join(plain)
     data = np.frombuffer(joined, np.uint8)
     edge = np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    s, inverse = _prefix(_BYTE[data], 0)
-    words = _spans(s, inverse, start, end) + (end - start).astype(np.uint64)
-    ends = np.cumsum([len(t or b"") + 1 for t in texts])
-    return _mix(words), np.r_[0, np.searchsorted(start, ends)]
+    ends = np.cumsum([len(t) + 1 for t in plain])
+    return Words(joined, start, end, np.r_[0, np.searchsorted(start, ends)])
 
 
 def _leaders(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,21 +122,16 @@ def _leaders(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, m[start]
 
 
-def _content(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _prefix(_mix(words ^ np.uint64(0xA5A5A5A5DEADBEEF)), 2)
-
-
-def runs_of(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+def runs_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Of each run: the text's index, first window's word within the text, number of windows, leader, content."""
-    words, first = word_hashes(texts)
-    start, lead = _leaders(words, first)
+    words = words_of(texts)
+    first = words.first
+    start, lead = _leaders(words.hashes(), first)
     owner = np.searchsorted(first, start, side="right") - 1
     new = np.flatnonzero(np.r_[len(start) > 0, (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])] if len(start) else np.zeros(0, bool))
     n = np.diff(np.r_[new, len(start)])
     i0 = start[new]
-    s, inverse = _content(words)
-    content = _spans(s, inverse, i0, i0 + n + WINDOW - 1) + n.astype(np.uint64)
-    return owner[new], i0 - first[owner[new]], n, lead[new], content
+    return owner[new], i0 - first[owner[new]], n, lead[new], words.digests(i0, n + WINDOW - 1)
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -130,11 +144,11 @@ def runs(docs: DataFrame) -> DataFrame:
                 if len(i):
                     take = pa.array(i + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(lead.view(np.int64)), pa.array(content.view(np.int64)), b.column("doc_id").take(take), b.column("rid").take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                        [pa.array(lead.view(np.int64)), content, b.column("doc_id").take(take), b.column("rid").take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
                         ["lead", "content", "doc_id", "rid", "at", "n"],
                     )
 
-    return docs.mapInArrow(run, f"lead bigint, content bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int, n int")
+    return docs.mapInArrow(run, f"lead bigint, content binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int, n int")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -144,15 +158,14 @@ def _windows(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts, opens = utf8(b.column("text")), b.column("open").to_pylist()
             for i, (t, spans) in enumerate(zip(texts, opens)):
-                words, _ = word_hashes([t])
-                s, inverse = _content(words)
+                words = words_of([t])
                 at = np.unique(np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in spans]))
-                at = at[at + WINDOW <= len(words)]
-                w = _spans(s, inverse, at, at + WINDOW)
+                at = at[at + WINDOW <= len(words.start)]
+                w = words.digests(at, np.full(len(at), WINDOW))
                 own = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), b.column("doc_id").take(own), b.column("rid").take(own), pa.array(at.astype(np.int32))], ["w", "doc_id", "rid", "at"])
+                yield pa.RecordBatch.from_arrays([w, b.column("doc_id").take(own), b.column("rid").take(own), pa.array(at.astype(np.int32))], ["w", "doc_id", "rid", "at"])
 
-    return docs.mapInArrow(run, f"w bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int")
+    return docs.mapInArrow(run, f"w binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int")
 
 
 def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
