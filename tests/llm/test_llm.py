@@ -110,6 +110,18 @@ def test_substring(spark):
     assert substring.dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_runs_hold_digests_of_their_words():
+    rnd = random.Random(4)
+    texts = [None, b"", b"one", "\t é  ü\n".encode() * 90, b"la " * 400] + ["\n ".join(words(rnd, n, 30)).encode() for n in (49, 50, 51, 700)]
+    seen = set()
+    for i, at, n, _, content in zip(*substring.runs_of(texts)):
+        span = texts[i].split()[at : at + n + 49]
+        assert len(span) == n + 49
+        assert content.as_py() == hashlib.blake2b(b" ".join(span), digest_size=16).digest()
+        seen.add(int(i))
+    assert seen == {i for i, t in enumerate(texts) if len((t or b"").split()) >= 50}
+
+
 def test_language_id(spark):
     rnd = random.Random(4)
     kinds = {"aa": "ba na ka lo", "bb": "ter sch und ein", "cc": "eau oux ieu tre"}
