@@ -222,11 +222,13 @@ class SubstringIndex:
         for t in summed[1:]:
             leads = leads.unionByName(t)
         leads = leads.groupBy("lead").agg(F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("fresh").alias("fresh")).where("k > 1 and lo < hi and fresh").select("lead")
-        reps = every[0].select("lead", "first.*")
-        for t in every[1:]:
-            reps = reps.unionByName(t.select("lead", "first.*"))
+        # of a class of an earlier batch one place tells its windows; a new one loses words at every place in its first document
+        fresh = every[-1].join(leads, "lead", "left_semi").select("lead", "content", "first.doc_id")
+        places = mine.join(fresh, ["lead", "content", "doc_id"], "left_semi").select("rid", "at", "n")
+        for t in every[:-1]:
+            places = places.unionByName(t.join(leads, "lead", "left_semi").select("first.rid", "first.at", "first.n"))
         spans = F.collect_list(F.struct("at", "n"))
-        opened = reps.join(leads, "lead", "left_semi").groupBy("rid").agg(spans.alias("open"))
+        opened = places.groupBy("rid").agg(spans.alias("open"))
         windows, windows_path = save(_windows(corpus.join(opened, "rid").select("doc_id", "rid", "text", "open")), "windows")
         lowest = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w", "least")
         part = windows.join(lowest, "w").where("least < doc_id").select("rid", "at", F.lit(1).alias("n"))

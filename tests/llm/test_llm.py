@@ -110,6 +110,20 @@ def test_substring(spark):
     assert substring.dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_substring_repeated_inside_a_document(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(0, 80, 2):
+        a, b, p, x, y = (words(rnd, n, 5000) for n in (70, 70, 60, 70, 70))
+        again = [" ".join(a + p + b)] * 2
+        rows += [(i, " ".join(x + p + y)), (i + 1, " ".join(again)), (i + 1, "two " + again[0])]
+    want = sorted(brute_cut(rows), key=str)
+    for batches in (1, 3):
+        got = substring.dedup(docs(spark, rows), batches=batches, fanout=1).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == want
+    assert sum(x[2] for x in want) >= 40 * 3 * 60
+
+
 def test_runs_hold_digests_of_their_words():
     rnd = random.Random(4)
     texts = [None, b"", b"one", "\t é  ü\n".encode() * 90, b"la " * 400] + ["\n ".join(words(rnd, n, 30)).encode() for n in (49, 50, 51, 700)]
