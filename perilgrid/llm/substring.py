@@ -11,8 +11,8 @@ duplicates can only lie in runs with a common leader:
   equal runs takes part, so a passage that many documents share isn't compared pair by pair.
 
 The index keeps, for each class, its first run, in immutable sorted tables. A batch of new
-documents is merge-joined with each table, its new classes become one more table, and when there
-are more than ``fanout`` tables they are merged into one. Leaders only find candidates. Each match is verified
+documents is merge-joined with each table and its new classes become one more table. If there are
+more than ``fanout`` tables when a batch comes, they are merged into one first. Leaders only find candidates. Each match is verified
 on 128 bits of BLAKE2b of the words themselves, joined by one space, so no chosen or chance collision
 of the fast hashes removes a word.
 """
@@ -202,6 +202,8 @@ class SubstringIndex:
         """Indexes batch(doc_id, rid, text) and returns (rid, spans): for each of its documents with
         duplicates, the windows (first word, number) that an earlier document has too. corpus: all
         documents so far with this batch, to verify against."""
+        if len(self.tables) > self.fanout:
+            self.compact()
         known = batch.where("doc_id is not null")
         mine, mine_path = save(runs(known), "runs")
         first = F.struct("doc_id", "rid", "at", "n")
@@ -234,8 +236,6 @@ class SubstringIndex:
         part = windows.join(lowest, "w").where("least < doc_id").select("rid", "at", F.lit(1).alias("n"))
         found, found_path = save(whole.unionByName(part).groupBy("rid").agg(spans.alias("spans")), "spans")
         drop(self.spark, mine_path, classes_path, windows_path)
-        if len(self.tables) > self.fanout:
-            self.compact()
         return found
 
     def compact(self) -> None:
@@ -275,7 +275,7 @@ def _cut(docs: DataFrame, id_kind: str, with_text: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, fanout: int = 4, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fanout: int = 1, with_text: bool = False) -> DataFrame:
     """(doc_id, rid, n_words, n_removed, kept_sha256[, kept_text]), a row for each row of docs.
 
     Removes every word that is covered by a window of 50 consecutive words whose word sequence also

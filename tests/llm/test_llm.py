@@ -124,6 +124,16 @@ def test_substring_repeated_inside_a_document(spark):
     assert sum(x[2] for x in want) >= 40 * 3 * 60
 
 
+def test_substring_compacts_by_default(spark, monkeypatch):
+    rnd = random.Random(10)
+    rows = [(i, " ".join(words(rnd, 60))) for i in range(30)]
+    rows += [(40, rows[2][1])]
+    merged, compact = [], substring.SubstringIndex.compact
+    monkeypatch.setattr(substring.SubstringIndex, "compact", lambda self: (merged.append(len(self.tables)), compact(self)))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup(docs(spark, rows)).collect()}
+    assert merged == [2] and got[40] == 60 and sum(got.values()) == 60
+
+
 def test_runs_hold_digests_of_their_words():
     rnd = random.Random(4)
     texts = [None, b"", b"one", "\t é  ü\n".encode() * 90, b"la " * 400] + ["\n ".join(words(rnd, n, 30)).encode() for n in (49, 50, 51, 700)]
