@@ -229,19 +229,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def _codes(vecs: DataFrame) -> DataFrame:
-    """vecs(node, v) with code: the unit vector in signed bytes, for searching; scores are computed
-    on the original vectors."""
+    """vecs(node, v) with code: the unit vector in single precision, for building the graph; the
+    search scores the original vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = np.rint(matrix(b.column("v")) * 127).astype(np.int8)
+            codes = matrix(b.column("v"), _BIN)
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "v", "code"])
 
     return vecs.select("node", "v").mapInArrow(run, "node bigint, v array<double>, code binary")
 
 
 def _decoded(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.int8).reshape(len(col), -1).astype(_BIN) / 127
+    return np.frombuffer(b"".join(col.to_pylist()), _BIN).reshape(len(col), -1)
 
 
 def _nearest(u: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None, out: list) -> None:
@@ -339,30 +339,29 @@ def _assigned(coded: DataFrame, shared) -> DataFrame:
 
 
 def _scores(pairs: DataFrame) -> DataFrame:
-    """(q, node, s) of pairs(q, node, q_code, code)."""
+    """(q, node, s) of pairs(q, node, q_v, v), in double precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                s = np.einsum("ij,ij->i", _decoded(b.column("q_code")), _decoded(b.column("code")))
-                yield pa.RecordBatch.from_arrays([b.column("q"), b.column("node"), pa.array(s.astype(_BIN))], ["q", "node", "s"])
+                s = np.einsum("ij,ij->i", matrix(b.column("q_v")), matrix(b.column("v")))
+                yield pa.RecordBatch.from_arrays([b.column("q"), b.column("node"), pa.array(s)], ["q", "node", "s"])
 
-    return pairs.select("q", "node", "q_code", "code").mapInArrow(run, "q bigint, node bigint, s float")
+    return pairs.select("q", "node", "q_v", "v").mapInArrow(run, "q bigint, node bigint, s double")
 
 
-def graph_search(coded: DataFrame, graph: DataFrame, queries: DataFrame, width: int = 128, step: int = 64, keep: int = 20, rounds: int = 12) -> DataFrame:
-    """(q, node, s): the ``keep`` nearest nodes that a greedy search finds for each query q of
+def graph_search(coded: DataFrame, graph: DataFrame, queries: DataFrame, width: int = 128, step: int = 64) -> DataFrame:
+    """(q, node, s): the ``width`` nearest nodes that a greedy search finds for each query q of
     queries(q), itself a node of the graph, where the search starts. Each round expands the nearest
     ``step`` nodes not yet expanded among the nearest ``width`` known ones, for all queries at once,
-    until there are none. s is approximate."""
+    until there are none. s is the cosine of the original vectors in double precision."""
     spark = coded.sparkSession
     around, around_path = save(_both_ways(graph, 2 * graph_degree(graph)).groupBy("u").agg(F.collect_list("w").alias("next")), "adjacency")
-    q_codes = queries.join(coded.select(F.col("node").alias("q"), F.col("code").alias("q_code")), "q")
-    q_codes, _ = save(q_codes, "queries")
-    codes = coded.select("node", "code")
-    known, path = save(queries.select("q", F.col("q").alias("node"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("done")), "known")
+    q_vecs, _ = save(queries.join(coded.select(F.col("node").alias("q"), F.col("v").alias("q_v")), "q"), "queries")
+    vecs = coded.select("node", "v")
+    known, path = save(queries.select("q", F.col("q").alias("node"), F.lit(1.0).alias("s"), F.lit(False).alias("done")), "known")
     order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    for _ in range(rounds):
+    while True:  # each round expands nodes for the first time, so it ends
         top = known.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= width) & ~F.col("done"))
         open_rank = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
         top = top.withColumn("r", open_rank).where(F.col("r") <= step).select("q", "node")
@@ -372,13 +371,13 @@ def graph_search(coded: DataFrame, graph: DataFrame, queries: DataFrame, width:
             break
         found = front.join(around, front["node"] == around["u"]).select("q", F.explode("next").alias("node")).distinct()
         found = found.join(known.select("q", "node"), ["q", "node"], "left_anti")
-        scored = _scores(found.join(codes, "node").join(q_codes, "q")).withColumn("done", F.lit(False))
+        scored = _scores(found.join(vecs, "node").join(q_vecs, "q")).withColumn("done", F.lit(False))
         old = known.join(front.withColumn("hit", F.lit(True)), ["q", "node"], "left").select("q", "node", "s", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done"))
         new, new_path = save(old.unionByName(scored), "known")
         drop(spark, path, front_path)
         known, path = new, new_path
         release(spark)
-    best = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    best = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
     out, _ = save(best.select("q", "node", "s"), "found")
     drop(spark, path, around_path)
     return out
@@ -398,9 +397,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for each row whose id is
     divisible by ``every``, among all other rows, by cosine; nearest first, ties to the smaller id.
 
-    Every vector is indexed, in a neighbour graph made by NN-descent; queries search it greedily,
-    with byte codes; the score of the best 20 is then computed in double precision on the original
-    vectors. Equal vectors are one node of the graph: of its rows the top + 1 smallest ids take part
+    Every vector is indexed, in a neighbour graph made by NN-descent in single precision; queries
+    search it greedily, by scores of the original vectors in double precision. Equal vectors are one node of the graph: of its rows the top + 1 smallest ids take part
     in results, which is all that ties can bring in.
 
     Vectors null, zero, with null or non-finite components, or of another dimension than most take

@@ -257,6 +257,22 @@ def test_nearest_neighbours(spark):
     assert [i for _, i, _ in sorted(got[0])] == [1, 2, 3, 4, 5]
 
 
+def test_nearest_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(11)
+    near = rng.normal(size=64) + rng.normal(scale=0.05, size=(800, 64))
+    x = np.concatenate([near, rng.normal(size=(400, 64))]).astype(np.float32)
+    got = {}
+    for r in vectors.nearest(vecs(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    n = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = []
+    for q in range(0, 800, 50):
+        s = n @ n[q]
+        s[q] = -2
+        hits.append(len(got[q] & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.95, np.mean(hits)
+
+
 @needs_vocabulary
 def test_token_counts(spark):
     texts = ["a b c", "", None, "word " * 300, "word " * 300, "été 12 !!"]
