@@ -127,10 +127,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id. Rows with a null
-    doc_id go if their group has another; of repeated rows of a doc_id one stays."""
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    out = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return out if ids["n"] == ids["d"] else out.dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates: that with the smallest doc_id, of equal or null ones
+    that with the smallest key of doc_id, source and text. Rows with a null doc_id go if their group
+    has another; of rows with the same doc_id, source and text one stays."""
+    text = F.col("text").cast("string")
+    key = F.xxhash64("doc_id", "source", text, F.col("doc_id").isNull(), F.col("source").isNull())
+    rows = docs.withColumn("_key", key)
+    found = near_duplicates(rows.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")), "_row")
+    keep = found.where("doc_id._key = component_id._key").select("doc_id._key").distinct()
+    out = rows.join(keep, "_key", "left_semi")
+    ids = rows.agg(F.count("*").alias("n"), F.count_distinct("_key").alias("d")).first()
+    return (out if ids["n"] == ids["d"] else out.dropDuplicates(["_key"])).drop("_key")

@@ -74,6 +74,15 @@ def test_simhash_grid_finds_every_pair(spark):
     assert {r["node"]: r["root"] for r in got} == {x: r for x, r in want.items() if list(want.values()).count(r) > 1}
 
 
+def test_representatives_with_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    t = [" ".join(words(rnd, 60, 5000)) for _ in range(9)]
+    rows = [(None, x) for x in t[:4]] + [(None, t[0]), (1, t[4]), (1, t[5], "en", "other"), (1, t[4]), (2, t[5]), (None, t[5]), (3, t[6], "en", None), (0, t[7]), (5, t[7])]
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.representatives(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, x) for x in t[:4]] + [(1, t[4]), (1, t[5]), (3, t[6]), (0, t[7])], key=str)
+    assert simhash.representatives(docs(spark, rows).limit(0)).count() == 0
+
+
 def brute_cut(rows):
     first = {}
     for i, t in rows:
