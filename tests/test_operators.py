@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from perilgrid.operators import features, forecast, geo, graph, learn, routes, stats, timegrid
 
 H = 3_600_000_000
@@ -191,3 +193,11 @@ def test_streams(spark, tmp_path):
     hours = {r["hour"].hour for r in spark.table("hours").where("hour < '2024-01-02'").collect()}
     assert hours == {1, 2, 3}
     assert [(r["started_at"].hour, r["finished_at"].hour) for r in spark.table("merged").collect()] == [(1, 3)]
+
+
+def test_long_chain_with_ascending_ids_is_contracted(spark):
+    e = spark.range(60).selectExpr("id as u", "id + 1 as v", "1.0D as w")
+    ends = spark.createDataFrame([(0,), (60,)], "node long")
+    assert pairs(graph.contract(e, ends), "u", "v", "w") == [(0, 60, 60.0)]
+    with pytest.raises(RuntimeError):
+        graph.contract(e, ends, rounds=1)
