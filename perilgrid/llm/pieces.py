@@ -75,8 +75,8 @@ class Pieces:
             pattern = f"{MARK}*(?:[{held}]+|[{rest}]+)|{MARK}+|[^{MARK}{held}{rest}]"
         # a text's own space marks come as OWN_MARK, which no piece and no text holds
         self.parts = re.compile(pattern).findall
-        self.cache: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.cache: dict[str, tuple[bytes, float, float, bytes]] = {}
+        self.older: dict[str, tuple[bytes, float, float, bytes]] = {}
 
     def lattice(self, part: str) -> tuple[list[float], list[list[tuple[float, int, int | tuple[int, ...]]]]]:
         """The best score of each prefix, and the edges (score, start, piece or bytes) into each place."""
@@ -106,8 +106,10 @@ class Pieces:
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a part, best first. Of equal scores, that whose later pieces
-        start earlier comes first."""
+        start earlier comes first. As the heuristic is exact for every tail, no place is left more than
+        n times."""
         best, into = self.lattice(part)
+        left = [0] * (len(part) + 1)
         heap: list[tuple] = [(-best[-1], 0, len(part), 0.0, None)]
         out, count = [], 0
         while heap and len(out) < n:
@@ -115,10 +117,13 @@ class Pieces:
             if at == 0:
                 ids: list[int] = []
                 while tail is not None:
-                    ids += tail[0] if isinstance(tail[0], tuple) else (tail[0],)
+                    ids.extend(tail[0] if isinstance(tail[0], tuple) else (tail[0],))
                     tail = tail[1]
                 out.append((-f, ids))
                 continue
+            left[at] += 1
+            if left[at] > n:
+                continue
             for s, start, piece in into[at]:
                 count += 1
                 heapq.heappush(heap, (-(score + s + best[start]), count, start, score + s, (piece, tail)))
@@ -150,12 +155,14 @@ class Pieces:
     def pack(self, ids: list[int]) -> bytes:
         return array("I" if self.wide else "H", ids).tobytes()
 
-    def part(self, part: str) -> tuple[bytes, float, float]:
-        """Packed ids and score of the best segmentation, and how much the next best falls short."""
+    def part(self, part: str) -> tuple[bytes, float, float, bytes]:
+        """Packed ids and score of the best segmentation, how much the next best falls short (inf if
+        there is none), and the next best's packed ids."""
         value = self.older.get(part)
         if value is None:
-            ids, best, second = self.two_best(part)
-            value = (self.pack(ids), best, best - second)
+            found = self.search(part, 2)
+            (best, ids), (second, others) = found[0], found[1] if len(found) > 1 else (float("-inf"), [])
+            value = (self.pack(ids), best, best - second, self.pack(others))
         if len(self.cache) >= CACHE:
             self.older = self.cache.copy()
             self.cache.clear()
@@ -166,13 +173,20 @@ class Pieces:
         """The parts of a text, with a space mark put before it."""
         return self.parts(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
 
-    def encode(self, text: str | None) -> tuple[bytes, float, float]:
-        """Packed ids of the best segmentation of a text, its score, and the score of the second best (nan if there is none)."""
+    def encode(self, text: str | None) -> list[tuple[float, bytes]]:
+        """Scores and packed ids of the two best segmentations of a text, or of the only one: the
+        second differs from the best in the part whose next best falls least short."""
         get = self.cache.get
         found = [get(p) or self.part(p) for p in self.split(text or "")]
-        best = sum([x[1] for x in found])
-        short = min([x[2] for x in found], default=float("inf"))
-        return b"".join([x[0] for x in found]), best, best - short if short != float("inf") else float("nan")
+        packed, best = [x[0] for x in found], sum([x[1] for x in found])
+        out = [(best, b"".join(packed))]
+        shorts = [x[2] for x in found]
+        short = min(shorts, default=float("inf"))
+        if short != float("inf"):
+            k = shorts.index(short)
+            packed[k] = found[k][3]
+            out.append((best - short, b"".join(packed)))
+        return out
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text. Only the n-1 parts whose second best falls least
@@ -200,11 +214,12 @@ def pieces(path: str = MODEL) -> Pieces:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, best_score, second_score, pieces_sha256, n_decoded, round_trip[, ids]) of
-    every row: the best segmentation of the whole text into the model's pieces, decoded again.
+    """(doc_id, n_pieces, best_score, second_score, pieces_sha256, n_decoded, round_trip, second_sha256,
+    second_round_trip[, ids]) of every row: the two best segmentations of the whole text into the
+    model's pieces, from the A* search, each decoded again.
 
-    second_score: of the second-best segmentation, null if there is no other. pieces_sha256: of the
-    ids as little-endian numbers of two bytes (four for models of over 65536 pieces). n_decoded:
+    second_score, second_sha256, second_round_trip: of the second-best segmentation, null if there
+    is no other. pieces_sha256 (and second_sha256): of the ids as little-endian numbers of two bytes (four for models of over 65536 pieces). n_decoded:
     code points of the decoded text; round_trip: it equals the text. Null text: as an empty one, no
     pieces, scores 0 and null, round_trip true. Null ids and repeated rows are rows like others;
     other columns aren't read; an empty table gives an empty result."""
@@ -218,18 +233,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 part = b.slice(lo, 500)
                 rows = []
                 for t in part.column(1).to_pylist():
-                    packed, best, second = p.encode(t)
+                    (best, packed), *others = p.encode(t)
                     back = p.decode(packed)
+                    more = (None, None, None)
+                    for score, other in others:
+                        more = (score, hashlib.sha256(other).hexdigest(), p.decode(other) == t)
                     ids = (p.unpack(packed).tolist(),) if with_ids else ()
-                    rows.append((len(packed) // width, best, None if second != second else second, hashlib.sha256(packed).hexdigest(), len(back), back == (t or ""), *ids))
+                    rows.append((len(packed) // width, best, more[0], hashlib.sha256(packed).hexdigest(), len(back), back == (t or ""), *more[1:], *ids))
                 cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
         gc.enable()
 
-    names = ["doc_id", "n_pieces", "best_score", "second_score", "pieces_sha256", "n_decoded", "round_trip", "ids"][: 8 if with_ids else 7]
+    names = ["doc_id", "n_pieces", "best_score", "second_score", "pieces_sha256", "n_decoded", "round_trip", "second_sha256", "second_round_trip", "ids"][: 10 if with_ids else 9]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_pieces bigint, best_score double, second_score double, pieces_sha256 string, n_decoded bigint, round_trip boolean" + ", ids array<int>" * with_ids
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_pieces bigint, best_score double, second_score double, pieces_sha256 string, n_decoded bigint, round_trip boolean, second_sha256 string, second_round_trip boolean" + ", ids array<int>" * with_ids
     return d.mapInArrow(run, schema)
 
 

@@ -338,6 +338,20 @@ def test_pieces_round_trip(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
 
+@needs_vocabulary
+def test_encode_gives_the_second_segmentation(spark):
+    p = pieces.pieces()
+    texts = ["hello", "été ok", "x" * 300, "ab cd", ""]
+    got = {r["doc_id"]: r for r in pieces.encode(docs(spark, list(enumerate(texts))), with_ids=True).collect()}
+    for i, t in enumerate(texts[:4]):
+        (first, ids), (second, others) = p.nbest(t, 2)
+        r = got[i]
+        assert r["ids"] == ids and ids != others and r["second_round_trip"]
+        assert r["second_sha256"] == hashlib.sha256(p.pack(others)).hexdigest()
+        assert abs(r["best_score"] - first) < 1e-9 and abs(r["second_score"] - second) < 1e-9
+    assert got[4]["second_sha256"] is None and got[4]["second_round_trip"] is None
+
+
 def test_mix_stage_with_one_id_in_two_sources(spark):
     import corpus_pipeline as c
 
