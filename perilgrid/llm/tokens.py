@@ -4,6 +4,7 @@ sums over the histogram answer totals, quantiles and truncated totals for every
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: The code points that \s stands for in the pattern.
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANK = re.compile(_BLANK + "{2000,}")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -25,13 +31,27 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def length(enc: tiktoken.Encoding, text: str | None) -> int:
+    """The encoded length of a whole text; 0 for a null one. The pattern's matcher recurses over a run
+    of white space, so one of 2000 signs or more is cut out where the pattern itself ends a piece: all
+    of the run is one piece but its last sign, which goes with what follows, unless nothing does."""
+    if not text:
+        return 0
+    n = at = 0
+    for run in _LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:] if at else text))
+
+
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens): the encoded length of each whole text; 0 for a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary).encode_ordinary
+        enc = encoder(vocabulary)
         for b in batches:
-            n = [len(enc(t)) if t else 0 for t in b.column(1).to_pylist()]
+            n = [length(enc, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -42,9 +62,9 @@ def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABUL
     """(n_tokens, n_docs): how many texts have each length. Each task sums its own rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, found = encoder(vocabulary).encode_ordinary, Counter()
+        enc, found = encoder(vocabulary), Counter()
         for b in batches:
-            found.update(len(enc(t)) if t else 0 for t in b.column(0).to_pylist())
+            found.update(length(enc, t) for t in b.column(0).to_pylist())
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
@@ -91,6 +111,6 @@ def truncated_total(table: DataFrame, limit: int) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """context_table of all rows of docs. A null or empty text has 0 tokens and counts as a text;
-    repeated rows count each; other columns aren't read; an empty table gives no rows."""
+    """context_table of all rows of docs. A null or empty text has 0 tokens and counts as a text; texts
+    are encoded whole however long, long white space too (see length); repeated rows count each; other columns aren't read; an empty table gives no rows."""
     return context_table(histogram(docs, text_col, vocabulary))
