@@ -3,8 +3,9 @@
 Every document has a 60-bit hash. A source takes floor(target / size) whole copies of all its
 documents and, for the rest of its target, those below a hash threshold. The threshold is found
 without sorting: words are summed by source and hash bucket (the hash's first 12 bits), the bucket
-in which the running sum passes the rest is the boundary, and only that bucket is split by the next
-12 bits, three times over. Thresholds nest: a smaller target takes a subset of the documents.
+in which the running sum passes the rest is the boundary, and only that bucket's documents are summed
+again, by the next 12 bits, three levels in all. Thresholds nest: a smaller target takes a subset of
+the documents. A histogram has at most 4096 rows a source, and tasks sum their own rows first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import WORD_PATTERN, save
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
+#: Bytes of rules (one a source) that are broadcast; larger tables of rules are joined by shuffle.
+MOST_BROADCAST = 16 << 20
 MOST_REPEATS = 2
 BITS, LEVELS, TOTAL_BITS = 12, 3, 60
 
@@ -74,31 +77,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source: a source of its own, the last. A source without words has target 0. Other columns aren't
     read; an empty table gives an empty result."""
     table, _ = save(sizes(docs, id_col, text_col, source_col), "sizes")
-    buckets, _ = save(table.groupBy("key", _bucket(LEVELS).alias("bucket")).agg(F.sum("size").alias("words")), "buckets")
-    goal, _ = save(targets(buckets.groupBy("key").agg(F.sum("words").alias("source_size"))), "targets")
+    first, _ = save(_histogram(table, 1), "histogram")
+    goal, _ = save(targets(first.groupBy("key").agg(F.sum("words").alias("source_size"))), "targets")
+    held = goal.agg(F.sum(F.octet_length("key") + 100).alias("n")).first()["n"] or 0
+    small = F.broadcast if held <= MOST_BROADCAST else (lambda x: x)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     # prefix: buckets below it (in its level's bits) are taken, it itself is to be refined
-    edge = goal.select("key", "source_size", "target", whole.alias("copies")).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
-    edge = edge.where("source_size > 0").withColumn("prefix", F.lit(0).cast("long"))
+    edge = goal.select("key", whole.alias("copies"), (F.col("target") - whole * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("prefix")).where("source_size > 0")
+    part = first
     for level in range(1, LEVELS + 1):
-        shift = BITS * (LEVELS - level)
-        inside = buckets.join(edge.select("key", "source_size", "target", "copies", "left", "prefix"), "key").where(F.shiftright("bucket", shift + BITS) == F.col("prefix"))
-        part = inside.groupBy("key", "source_size", "target", "copies", "left", F.shiftright("bucket", shift).alias("b")).agg(F.sum("words").alias("words"))
+        if level > 1:  # of the boundary bucket's documents alone
+            inside = table.join(small(edge.where("words > 0").select("key", "prefix")), "key").where(_bucket(level - 1) == F.col("prefix"))
+            part = _histogram(inside, level)
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("b"))
-        part = part.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("words"))
+        part = part.join(small(edge.select("key", "copies", "left")), "key").withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("words"))
         # the boundary: the first bucket whose running sum exceeds what is left; none if all fit
-        first = F.min(F.when(F.col("upto") > F.col("left"), F.struct("b", "below", "words")))
-        found = part.groupBy("key", "source_size", "target", "copies", "left").agg(first.alias("x"), F.max("upto").alias("all"), F.max("b").alias("last"))
-        edge = found.select(
-            "key", "source_size", "target", "copies",
-            (F.col("left") - F.coalesce("x.below", F.col("all"))).alias("left"),
-            F.coalesce("x.b", F.col("last") + 1).alias("prefix"),
+        least = F.min(F.when(F.col("upto") > F.col("left"), F.struct("b", "below", "words")))
+        found = part.groupBy("key").agg(least.alias("x"), F.max("upto").alias("all"), F.max("b").alias("last"))
+        edge = edge.select("key", "copies", "left", F.col("prefix").alias("old")).join(small(found), "key", "left").select(
+            "key", "copies",
+            (F.col("left") - F.coalesce("x.below", "all", F.lit(0))).alias("left"),
+            F.coalesce("x.b", F.col("last") + 1, F.shiftleft("old", BITS)).alias("prefix"),
             F.coalesce("x.words", F.lit(0)).alias("words"),
         )
         edge, _ = save(edge, "edge")
     # the last boundary bucket as a whole, if that comes nearer
     limit = F.col("prefix") + F.when(F.col("words") - F.col("left") < F.col("left"), 1).otherwise(0)
-    rule = goal.join(edge.select("key", "copies", limit.alias("limit")), "key", "left")
+    rule, _ = save(goal.join(small(edge.select("key", "copies", limit.alias("limit"))), "key", "left"), "rule")
     extra = F.when((F.col("copies") < MOST_REPEATS) & (_bucket(LEVELS) < F.col("limit")), 1).otherwise(0)
     taken = F.coalesce((F.col("copies") + extra) * F.col("size"), F.lit(0)).cast("long")
-    return table.join(rule, "key").select("doc_id", "key", "size", "source_size", "target", taken.alias("taken"))
+    return table.join(small(rule), "key").select("doc_id", "key", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _histogram(docs: DataFrame, level: int) -> DataFrame:
+    """(key, b, words): words by source and the hash's first level * BITS bits."""
+    return docs.groupBy("key", _bucket(level).alias("b")).agg(F.sum("size").alias("words"))
