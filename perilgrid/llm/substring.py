@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import drop, release, save, text_batches, utf8
 
 WINDOW, GRAM = 50, 8
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _M = (1 << 64) - 1
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -178,7 +178,8 @@ def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rid, text): rid tells rows with one doc_id and different texts apart."""
+    """(doc_id, rid, text): rid tells rows with one doc_id and different texts apart; a document is
+    known by both."""
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text"))
 
@@ -199,7 +200,7 @@ class SubstringIndex:
         return save(classes.repartitionByRange("lead").sortWithinPartitions("lead", "content"), "index")[1]
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Indexes batch(doc_id, rid, text) and returns (rid, spans): for each of its documents with
+        """Indexes batch(doc_id, rid, text) and returns (doc_id, rid, spans): for each of its documents with
         duplicates, the windows (first word, number) that an earlier document has too. corpus: all
         documents so far with this batch, to verify against."""
         if len(self.tables) > self.fanout:
@@ -216,7 +217,7 @@ class SubstringIndex:
         classes = classes.withColumn("least", F.least("first.doc_id", *seen) if seen else F.col("first.doc_id"))
         classes = classes.withColumn("new", F.coalesce(*seen).isNull() if seen else F.lit(True)).select("lead", "content", "first", "least", "new")
         classes, classes_path = save(classes, "classes")
-        whole = mine.join(classes.select("lead", "content", "least"), ["lead", "content"]).where("least < doc_id").select("rid", "at", "n")
+        whole = mine.join(classes.select("lead", "content", "least"), ["lead", "content"]).where("least < doc_id").select("doc_id", "rid", "at", "n")
         self.tables.append(self._write(classes.where("new").select("lead", "content", "first")))
         every = [self._read(p) for p in self.tables]
         summed = [t.groupBy("lead").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi")).withColumn("fresh", F.lit(i == len(every) - 1)) for i, t in enumerate(every)]
@@ -226,16 +227,18 @@ class SubstringIndex:
         leads = leads.groupBy("lead").agg(F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("fresh").alias("fresh")).where("k > 1 and lo < hi and fresh").select("lead")
         # of a class of an earlier batch one place tells its windows; a new one loses words at every place in its first document
         fresh = every[-1].join(leads, "lead", "left_semi").select("lead", "content", "first.doc_id")
-        places = mine.join(fresh, ["lead", "content", "doc_id"], "left_semi").select("rid", "at", "n")
+        places = mine.join(fresh, ["lead", "content", "doc_id"], "left_semi").select("doc_id", "rid", "at", "n")
         for t in every[:-1]:
-            places = places.unionByName(t.join(leads, "lead", "left_semi").select("first.rid", "first.at", "first.n"))
+            places = places.unionByName(t.join(leads, "lead", "left_semi").select("first.doc_id", "first.rid", "first.at", "first.n"))
         spans = F.collect_list(F.struct("at", "n"))
-        opened = places.groupBy("rid").agg(spans.alias("open"))
-        windows, windows_path = save(_windows(corpus.join(opened, "rid").select("doc_id", "rid", "text", "open")), "windows")
+        opened = places.groupBy("doc_id", "rid").agg(spans.alias("open"))
+        windows, windows_path = save(_windows(corpus.join(opened, ["doc_id", "rid"]).select("doc_id", "rid", "text", "open")), "windows")
+        # written first, for Spark can split a join's hot keys only if neither side comes straight from an aggregate
         lowest = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w", "least")
-        part = windows.join(lowest, "w").where("least < doc_id").select("rid", "at", F.lit(1).alias("n"))
-        found, found_path = save(whole.unionByName(part).groupBy("rid").agg(spans.alias("spans")), "spans")
-        drop(self.spark, mine_path, classes_path, windows_path)
+        lowest, lowest_path = save(lowest, "lowest")
+        part = windows.join(lowest, "w").where("least < doc_id").select("doc_id", "rid", "at", F.lit(1).alias("n"))
+        found, found_path = save(whole.unionByName(part).groupBy("doc_id", "rid").agg(spans.alias("spans")), "spans")
+        drop(self.spark, mine_path, classes_path, windows_path, lowest_path)
         return found
 
     def compact(self) -> None:
@@ -275,6 +278,16 @@ def _cut(docs: DataFrame, id_kind: str, with_text: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _cuts(keys: DataFrame, batches: int) -> list:
+    """At most batches - 1 ids that cut the documents into ranges of about equal numbers: quantiles of
+    the 1000 distinct ids with the smallest hashes. They only say which batch a document comes in."""
+    if batches < 2:
+        return []
+    some = keys.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash")).distinct().orderBy("hash", "doc_id").limit(1000)
+    ids = sorted(r["doc_id"] for r in some.collect())
+    return sorted({ids[k * len(ids) // batches] for k in range(1, batches)}) if ids else []
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fanout: int = 1, with_text: bool = False) -> DataFrame:
     """(doc_id, rid, n_words, n_removed, kept_sha256[, kept_text]), a row for each row of docs.
 
@@ -283,21 +296,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     a log-structured index in ``batches`` ranges of doc_id, smallest first. kept_text is the text
     itself where nothing goes, else the kept words joined by one space.
 
-    Null text: no words. Null doc_id: nothing is removed and nothing else is for its sake. Rows with
+    Texts are taken whole, however long. doc_id: of any type that can be ordered. Null text: no words. Null doc_id: nothing is removed and nothing else is for its sake. Rows with
     the same doc_id don't remove from each other, whether their texts are equal or not. Other
     columns are not read. An empty table gives an empty result."""
     spark = docs.sparkSession
     keys = keyed(docs, id_col, text_col)
     id_kind = keys.schema["doc_id"].dataType.simpleString()
-    cuts = [c for c in (keys.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []) if c is not None] if batches > 1 else []
-    cuts = sorted(set(cuts))
+    cuts = _cuts(keys, batches)
     index, results = SubstringIndex(spark, fanout), []
     for k in range(len(cuts) + 1):
         lo = F.lit(True) if k == 0 else F.col("doc_id") > F.lit(cuts[k - 1])
         hi = F.lit(True) if k == len(cuts) else F.col("doc_id") <= F.lit(cuts[k])
         batch = keys.where((lo & hi) | (F.col("doc_id").isNull() if k == 0 else F.lit(False)))
         spans = index.add(batch, keys.where(hi))
-        results.append(save(_cut(batch.join(spans, "rid", "left"), id_kind, with_text), "cut")[0])
+        results.append(save(_cut(batch.join(spans, ["doc_id", "rid"], "left"), id_kind, with_text), "cut")[0])
         release(spark)
     drop(spark, *index.tables)
     out = results[0]
