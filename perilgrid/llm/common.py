@@ -128,24 +128,29 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge in edges(a, b); root is the smallest node of
     its component. Alternating large-star and small-star steps (Kiveris et al., 2014): each is an
     aggregate that Spark combines before the shuffle and a join whose hot keys AQE splits, so a
-    hub with a third of all edges does not meet in one task. Nothing but two counts reaches the
-    driver. Each round's edges are written to the shared folder. Nulls link nothing."""
+    hub with a third of all edges does not meet in one task (the least neighbours are written first,
+    for a side that comes straight from an aggregate can't be split). Nothing but two counts reaches
+    the driver. Each round's edges are written to the shared folder. Nulls link nothing. Raises if
+    ``most_rounds`` aren't enough; rounds grow with the logarithm of the longest path."""
     spark = edges.sparkSession
     e, path = save(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     seen = None
-    for _ in range(most_rounds):
+    for k in range(most_rounds + 1):
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or state == seen:
             break
+        if k == most_rounds:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low, low_path = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, large_path = save(large, "large")
+        low, least_path = save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = save(small, "edges")
-        drop(spark, path)
+        drop(spark, path, low_path, large_path, least_path)
         e, path = new, new_path
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
