@@ -18,14 +18,16 @@ _BIN, _ALL = np.float32, np.float64
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the vectors that can be compared: not null, not zero, all components finite.
-    Vectors have one dimension, the most frequent (of equally frequent ones the larger); others
-    can't be compared with them."""
+    """(vec_id, v) of the vectors that can be compared: not null, not zero, all components finite."""
     d = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    d = d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    top = d.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    return d.where(F.size("v") == (top["dim"] if top else 0))
+    return d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
+
+
+def dimensions(vecs: DataFrame) -> list[int]:
+    """The dimensions that two vectors or more have. Only vectors of one dimension are compared, so
+    each of these is a job of its own (a table has one, as a rule)."""
+    return [r["dim"] for r in vecs.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dim").collect()]
 
 
 def matrix(col: pa.Array, kind: type = _ALL) -> np.ndarray:
@@ -188,15 +190,38 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     are joined once. A block emits counts and a spanning forest of its links, not the pairs.
 
     n_links: other vectors linked directly; component_id: the smallest vec_id reachable, itself
-    included; kept: vec_id = component_id. Null vectors, zero ones, those with null or non-finite
-    components or another dimension than most link with nothing. Null vec_id: no links, component_id
-    null, kept true. Rows with one vec_id are one vector if equal; if they differ, each links by its
-    own components and they share a component. Other columns aren't read; an empty table gives an
-    empty result. vec_id is a whole number."""
+    included; kept: vec_id = component_id. Null vectors, zero ones and those with null or non-finite
+    components link with nothing; vectors of different dimensions aren't linked. Null vec_id: no
+    links, component_id null, kept true. Rows with one vec_id are one vector if equal; if they
+    differ, each links by its own components and they share a component. Other columns aren't read;
+    an empty table gives an empty result. vec_id is a whole number."""
     spark = vectors.sparkSession
     fine, _ = save(usable(vectors, id_col, vec_col), "vectors")
     classes = fine.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes, _ = save(classes, "classes")
+    found = None
+    for dim in dimensions(classes):
+        part = _linked(classes.where(F.size("v") == dim), least)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "a bigint, n bigint, b bigint")
+    counts = found.where("n is not null").select(F.col("a").alias("rep"), "n")
+    roots = connected_components(found.where("b is not null").select("a", "b"))
+    of = counts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("root"))
+    of = classes.select("v", F.col("vec_id").cast("long").alias("rep"), "copies").join(of, "rep", "left")
+    links = fine.join(of, "v").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    links = links.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("root").alias("root"))
+    out = vectors.select(F.col(id_col).alias("vec_id")).join(links, "vec_id", "left")
+    component = F.coalesce(F.col("root").cast(vectors.schema[id_col].dataType), F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    )
+
+
+def _linked(classes: DataFrame, least: float) -> DataFrame:
+    """Of distinct vectors of one dimension, classes(vec_id, copies, v): rows (a, n) with the number
+    of vectors linked with a, copies counted, and rows (a, b), a spanning forest of the links."""
+    spark = classes.sparkSession
     n = classes.count()
     shared = spark.sparkContext.broadcast(pivots(classes, math.ceil(n / BLOCK)))
     radius = math.sqrt(max(0.0, 2 - 2 * least))
@@ -212,17 +237,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dealt = homes.unionByName(others).withColumn("vec_id", F.col("vec_id").cast("long"))
     found, _ = save(dealt.repartition("block").sortWithinPartitions("block", "role").mapInArrow(_cells(least), "a bigint, n bigint, b bigint"), "links")
     drop(spark, placed_path)
-    counts = found.where("n is not null").select(F.col("a").alias("rep"), "n")
-    roots = connected_components(found.where("b is not null").select("a", "b"))
-    of = counts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("root"))
-    of = classes.select("v", F.col("vec_id").cast("long").alias("rep"), "copies").join(of, "rep")
-    links = fine.join(of, "v").select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "root")
-    links = links.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("root").alias("root"))
-    out = vectors.select(F.col(id_col).alias("vec_id")).join(links, "vec_id", "left")
-    component = F.coalesce(F.col("root").cast(vectors.schema[id_col].dataType), F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    )
+    return found
 
 
 # --- neighbour graph -------------------------------------------------------------------------
@@ -259,7 +274,8 @@ def _nearest(u: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None, out
 
 def _local_joins(k: int, largest: int):
     """Of rows (group, node, code, floor) sorted by group: for each node of a group its k nearest
-    others there. Groups of over ``largest`` rows are taken in slices of that size."""
+    others there. Groups of over ``largest`` rows, which only the first cells can be, are taken in
+    slices of that size: they are a start, and the rounds after it join across them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "grp"):
@@ -350,42 +366,39 @@ def _scores(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "node", "q_v", "v").mapInArrow(run, "q bigint, node bigint, s double")
 
 
-def graph_search(coded: DataFrame, graph: DataFrame, queries: DataFrame, width: int = 128, step: int = 64) -> DataFrame:
+def graph_search(coded: DataFrame, graph: DataFrame, queries: DataFrame, width: int = 128, step: int = 32, degree: int = 40) -> DataFrame:
     """(q, node, s): the ``width`` nearest nodes that a greedy search finds for each query q of
     queries(q), itself a node of the graph, where the search starts. Each round expands the nearest
-    ``step`` nodes not yet expanded among the nearest ``width`` known ones, for all queries at once,
-    until there are none. s is the cosine of the original vectors in double precision."""
+    ``step`` nodes not yet expanded of each query's beam, its ``width`` nearest known nodes, for all
+    queries at once, until all are. s is the cosine of the original vectors in double precision.
+
+    The beams are all that is kept between rounds. A node that has left a beam may be met and scored
+    again, but can't come back, for a beam's least score only rises; so no node is expanded twice
+    and the rounds end."""
     spark = coded.sparkSession
-    around, around_path = save(_both_ways(graph, 2 * graph_degree(graph)).groupBy("u").agg(F.collect_list("w").alias("next")), "adjacency")
+    around, around_path = save(_both_ways(graph, degree).groupBy("u").agg(F.collect_list("w").alias("next")), "adjacency")
     q_vecs, _ = save(queries.join(coded.select(F.col("node").alias("q"), F.col("v").alias("q_v")), "q"), "queries")
     vecs = coded.select("node", "v")
-    known, path = save(queries.select("q", F.col("q").alias("node"), F.lit(1.0).alias("s"), F.lit(False).alias("done")), "known")
-    order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    while True:  # each round expands nodes for the first time, so it ends
-        top = known.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= width) & ~F.col("done"))
-        open_rank = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
-        top = top.withColumn("r", open_rank).where(F.col("r") <= step).select("q", "node")
-        front, front_path = save(top, "front")
-        if not front.take(1):
-            drop(spark, front_path)
-            break
-        found = front.join(around, front["node"] == around["u"]).select("q", F.explode("next").alias("node")).distinct()
-        found = found.join(known.select("q", "node"), ["q", "node"], "left_anti")
+
+    def beams(rows: DataFrame) -> tuple[DataFrame, str]:
+        """Of rows(q, node, s, done) the nearest, those to be expanded next marked with go."""
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
+        top = rows.withColumn("rank", rank).where(F.col("rank") <= width)
+        turn = F.row_number().over(Window.partitionBy("q").orderBy("done", "rank"))
+        return save(top.select("q", "node", "s", "done", (~F.col("done") & (turn <= step)).alias("go")), "beams")
+
+    beam, path = beams(queries.select("q", F.col("q").alias("node"), F.lit(1.0).alias("s"), F.lit(False).alias("done")))
+    while beam.where("go").take(1):
+        found = beam.where("go").select("q", F.col("node").alias("u")).join(around, "u").select("q", F.explode("next").alias("node")).distinct()
+        found = found.join(beam.select("q", "node"), ["q", "node"], "left_anti")
         scored = _scores(found.join(vecs, "node").join(q_vecs, "q")).withColumn("done", F.lit(False))
-        old = known.join(front.withColumn("hit", F.lit(True)), ["q", "node"], "left").select("q", "node", "s", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done"))
-        new, new_path = save(old.unionByName(scored), "known")
-        drop(spark, path, front_path)
-        known, path = new, new_path
+        old = beam.select("q", "node", "s", (F.col("done") | F.col("go")).alias("done"))
+        new, new_path = beams(old.unionByName(scored))
+        drop(spark, path)
+        beam, path = new, new_path
         release(spark)
-    best = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
-    out, _ = save(best.select("q", "node", "s"), "found")
-    drop(spark, path, around_path)
-    return out
-
-
-def graph_degree(graph: DataFrame) -> int:
-    top = graph.groupBy("u").count().agg(F.max("count")).first()[0]
-    return int(top or 1)
+    drop(spark, around_path)
+    return beam.select("q", "node", "s")
 
 
 def cosine(a: str, b: str) -> F.Column:
@@ -398,14 +411,27 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     divisible by ``every``, among all other rows, by cosine; nearest first, ties to the smaller id.
 
     Every vector is indexed, in a neighbour graph made by NN-descent in single precision; queries
-    search it greedily, by scores of the original vectors in double precision. Equal vectors are one node of the graph: of its rows the top + 1 smallest ids take part
-    in results, which is all that ties can bring in.
-
-    Vectors null, zero, with null or non-finite components, or of another dimension than most take
-    no part, nor does a null vec_id. Repeated rows count once. Fewer candidates give fewer rows; an
-    empty table gives an empty result. Other columns aren't read. vec_id is a whole number."""
+    search it greedily, by scores of the original vectors in double precision. Equal vectors are one
+    node of the graph: of its rows the top + 1 smallest ids take part in results, which is all that
+    ties can bring in.
+
+    Vectors null, zero or with null or non-finite components take no part, nor does a null vec_id;
+    vectors of different dimensions aren't compared. Repeated rows count once. Fewer candidates give
+    fewer rows; an empty table gives an empty result. Other columns aren't read. vec_id is a whole
+    number."""
     kind = vectors.schema[id_col].dataType
     fine, _ = save(usable(vectors, id_col, vec_col).withColumn("vec_id", F.col("vec_id").cast("long")).distinct(), "vectors")
+    out = None
+    for dim in dimensions(fine):
+        found = _nearest_of(fine.where(F.size("v") == dim), top, every, graph)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = fine.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return out.select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")
+
+
+def _nearest_of(fine: DataFrame, top: int, every: int, graph: dict) -> DataFrame:
+    """As nearest, of distinct rows fine(vec_id, v) of one dimension."""
     classes = fine.groupBy("v").agg(F.min("vec_id").alias("node"))
     classes, _ = save(classes, "classes")
     coded, _ = save(_codes(classes), "codes")
@@ -420,5 +446,4 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     scored = found.join(vec, "node").join(vec.select(F.col("node").alias("q"), F.col("v").alias("q_v")), "q").select("q", "node", cosine("v", "q_v").alias("score"))
     rows = asked.join(scored, "q").join(members, "node").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    out = rows.withColumn("rank", rank).where(F.col("rank") <= top)
-    return out.select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
