@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-_CACHE = 200_000
+_CACHE = 50_000
 
 
 @dataclass

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import heapq
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\ud800"  # a lone surrogate: UTF-8 text has none
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000  # parts; as many again that were used before these
+CACHE_BYTES = 40 << 20  # of parts in a worker's cache; as many again that were used before these
 _NEVER = -1e8  # pieces with lower scores are there for other uses than scoring
 
 
@@ -40,7 +40,8 @@ class Pieces:
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.trie: dict[str, tuple[float, int] | None] = {}
+        # nodes are (children by character, [score, id] or [] if no piece ends here)
+        self.trie: tuple[dict, list] = ({}, [])
         self.bytes: list[int] = [-1] * 256
         self.of: list[bytes] = []
         worst, letters, names = 0.0, set(), []
@@ -54,9 +55,10 @@ class Pieces:
             else:
                 self.of.append(p.replace(MARK, " ").encode())
                 score = sp.get_score(i)
-                for k in range(1, len(p)):
-                    self.trie.setdefault(p[:k], None)
-                self.trie[p] = (score, i)
+                node = self.trie
+                for c in p:
+                    node = node[0].setdefault(c, ({}, []))
+                node[1][:] = [score, i]
                 letters.update(p)
                 names.append(p)
                 if score > _NEVER:
@@ -77,81 +79,64 @@ class Pieces:
         self.parts = re.compile(pattern).findall
         self.cache: dict[str, tuple[bytes, float, float, bytes]] = {}
         self.older: dict[str, tuple[bytes, float, float, bytes]] = {}
+        self.held = 0
 
     def lattice(self, part: str) -> tuple[list[float], list[list[tuple[float, int, int | tuple[int, ...]]]]]:
         """The best score of each prefix, and the edges (score, start, piece or bytes) into each place."""
-        n, get = len(part), self.trie.get
+        n, root = len(part), self.trie[0]
         best = [0.0] + [float("-inf")] * n
         into: list[list] = [[] for _ in best]
         for i in range(n):
-            b, found = best[i], get(part[i], 0)
-            if not found:
+            b, j, node = best[i], i, root.get(part[i])
+            if node is None or not node[1]:
                 c = part[i]
                 raw = (MARK if c == OWN_MARK else " " if c == MARK else c).encode()
                 into[i + 1].append((self.unknown, i, tuple([self.bytes[x] for x in raw])))
                 if b + self.unknown > best[i + 1]:
                     best[i + 1] = b + self.unknown
-            j = i + 1
-            while found != 0:
-                if found is not None:
-                    s = found[0]
-                    into[j].append((s, i, found[1]))
+            while node is not None:
+                j += 1
+                children, end = node
+                if end:
+                    s, piece = end
+                    into[j].append((s, i, piece))
                     if b + s > best[j]:
                         best[j] = b + s
                 if j == n:
                     break
-                j += 1
-                found = get(part[i:j], 0)
+                node = children.get(part[j])
         return best, into
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a part, best first. Of equal scores, that whose later pieces
-        start earlier comes first. As the heuristic is exact for every tail, no place is left more than
-        n times."""
+        """The n best segmentations of a part, best first, by A* from its end. Of equal scores, that
+        whose later pieces start earlier comes first.
+
+        The heuristic is exact, so an open hypothesis stands for a segmentation of just its f: the
+        open list needs no more than the n best, less those that are complete."""
         best, into = self.lattice(part)
-        left = [0] * (len(part) + 1)
-        heap: list[tuple] = [(-best[-1], 0, len(part), 0.0, None)]
+        open_: list[tuple] = [(-best[-1], 0, len(part), 0.0, None)]
         out, count = [], 0
-        while heap and len(out) < n:
-            f, _, at, score, tail = heapq.heappop(heap)
+        while open_ and len(out) < n:
+            f, _, at, score, tail = open_.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while tail is not None:
-                    ids.extend(tail[0] if isinstance(tail[0], tuple) else (tail[0],))
+                    ids.extend(tail[0] if tail[0].__class__ is tuple else (tail[0],))
                     tail = tail[1]
                 out.append((-f, ids))
                 continue
-            left[at] += 1
-            if left[at] > n:
-                continue
+            most = n - len(out)
             for s, start, piece in into[at]:
                 count += 1
-                heapq.heappush(heap, (-(score + s + best[start]), count, start, score + s, (piece, tail)))
+                g = score + s
+                f = -(g + best[start])
+                if len(open_) < most:
+                    insort(open_, (f, count, start, g, (piece, tail)))
+                elif f < open_[-1][0]:
+                    open_.pop()
+                    insort(open_, (f, count, start, g, (piece, tail)))
         return out
 
-    def two_best(self, part: str) -> tuple[list[int], float, float]:
-        """What search(part, 2) finds, without the second's ids: as the heuristic is exact, once the
-        best is complete the best open hypothesis has just the second score. No heap is needed."""
-        best, into = self.lattice(part)
-        at, score, second = len(part), 0.0, float("-inf")
-        ids: list[int] = []
-        while at:
-            top, step = best[at], None
-            for e in into[at]:
-                f = e[0] + best[e[1]]
-                if f == top and step is None:
-                    step = e
-                elif score + f > second:
-                    second = score + f
-            score += step[0]
-            at = step[1]
-            if step[2].__class__ is int:
-                ids.append(step[2])
-            else:
-                ids.extend(reversed(step[2]))
-        ids.reverse()
-        return ids, best[-1], second
-
     def pack(self, ids: list[int]) -> bytes:
         return array("I" if self.wide else "H", ids).tobytes()
 
@@ -163,9 +148,9 @@ class Pieces:
             found = self.search(part, 2)
             (best, ids), (second, others) = found[0], found[1] if len(found) > 1 else (float("-inf"), [])
             value = (self.pack(ids), best, best - second, self.pack(others))
-        if len(self.cache) >= CACHE:
-            self.older = self.cache.copy()
-            self.cache.clear()
+        self.held += 330 + 2 * len(part) + len(value[0]) + len(value[3])
+        if self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
         self.cache[part] = value
         return value
 
@@ -176,8 +161,7 @@ class Pieces:
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """Scores and packed ids of the two best segmentations of a text, or of the only one: the
         second differs from the best in the part whose next best falls least short."""
-        get = self.cache.get
-        found = [get(p) or self.part(p) for p in self.split(text or "")]
+        found = [self.cache.get(p) or self.part(p) for p in self.split(text or "")]
         packed, best = [x[0] for x in found], sum([x[1] for x in found])
         out = [(best, b"".join(packed))]
         shorts = [x[2] for x in found]
@@ -227,7 +211,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         width = 4 if p.wide else 2
+        on = gc.isenabled()
         gc.disable()  # the cache is large and holds no cycles
+        try:
+            yield from encoded(p, width, batches)
+        finally:
+            if on:
+                gc.enable()
+
+    def encoded(p: Pieces, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
@@ -243,7 +235,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
-        gc.enable()
 
     names = ["doc_id", "n_pieces", "best_score", "second_score", "pieces_sha256", "n_decoded", "round_trip", "second_sha256", "second_round_trip", "ids"][: 10 if with_ids else 9]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
