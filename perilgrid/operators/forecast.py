@@ -75,6 +75,50 @@ def hazard(states: DataFrame, panel: DataFrame, n: int = LEADS) -> DataFrame:
     return cells.join(truth, ["region", "at"]).groupBy("bin", "lead").agg(F.count("*").alias("n"), F.avg("a").alias("p"))
 
 
+def semi_markov(states: DataFrame, panel: DataFrame, hours: DataFrame, days: int = 60, n: int = LEADS) -> DataFrame:
+    """(region, h, lead, p) for hours(region, h): how often presence held lead hours after instants of
+    the same state bin, over all regions and the instants of the ``days`` days before whose last
+    target hour is over, refitted each day; in inactive bins times the region's own level (0.2 to 5),
+    from what lead 6 held against what the rates expect. A bin without instants takes the mean of
+    the lead's other bins. states(region, h, active, bin) has a row for each instant.
+
+    Days are counted so that the instants which have ended by day D are just those of the days up to
+    D - 1; of the earliest one only its last hours are inside. So windows are sums of daily rows."""
+    late = n - 1
+    cells = leads(states, n).withColumn("at", F.col("h") + F.col("lead"))
+    cells = cells.join(panel.select("region", F.col("h").alias("at"), F.col("a").alias("y")), ["region", "at"])
+    cells = cells.withColumn("s", F.floor((F.col("h") + late) / 24)).withColumn("inside", F.pmod(F.col("h") + late, F.lit(24)) >= late)
+
+    def daily(rows: DataFrame, by: list[str]) -> DataFrame:
+        one, y = F.lit(1), F.col("y")
+        part = lambda x: F.sum(F.when(F.col("inside"), x).otherwise(0))
+        return rows.groupBy(*by, "s").agg(F.sum(one).alias("n"), F.sum(y).alias("y"), part(one).alias("n_late"), part(y).alias("y_late"))
+
+    def window(table: DataFrame, by: list[str], asked: DataFrame) -> DataFrame:
+        """(by, day, n, y) of the window before each day, zero where nothing is."""
+        zero = [F.lit(0).cast("long").alias(c) for c in ("n", "y", "n_late", "y_late")]
+        every = table.withColumn("ask", F.lit(False)).unionByName(asked.select(*by, F.col("day").alias("s"), *zero, F.lit(True).alias("ask")))
+        w = Window.partitionBy(*by).orderBy("s")
+        total = lambda c: F.coalesce(F.sum(c).over(w.rangeBetween(-(days - 1), -1)), F.lit(0)) + F.coalesce(F.sum(f"{c}_late").over(w.rangeBetween(-days, -days)), F.lit(0))
+        return every.select(*by, F.col("s").alias("day"), "ask", total("n").alias("n"), total("y").alias("y")).where("ask").drop("ask")
+
+    wanted = hours.select("region", "h").distinct().withColumn("day", F.floor(F.col("h") / 24))
+    when = wanted.select("day").distinct()
+    bins = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("bin")
+    pooled = window(daily(cells, ["bin", "lead"]), ["bin", "lead"], leads(when.select("day", bins), n))
+    own = F.try_divide(F.col("y").cast("double"), F.col("n"))
+    rate = pooled.withColumn("r", own).withColumn("rate", F.coalesce("r", F.avg("r").over(Window.partitionBy("day", "lead")))).select("day", "bin", "lead", "rate")
+    idle = cells.where("active = 0 and lead = 6")
+    by_region = window(daily(idle, ["region", "bin"]), ["region", "bin"], wanted.select("region", "day").distinct().select("region", "day", bins).where("bin < 4"))
+    level = by_region.join(rate.where("lead = 6").drop("lead"), ["day", "bin"]).groupBy("region", "day").agg(
+        ((F.sum("y") + 0.5) / (F.sum(F.col("n") * F.coalesce("rate", F.lit(0.0))) + 0.5)).alias("level")
+    )
+    level = level.withColumn("level", F.least(F.greatest("level", F.lit(0.2)), F.lit(5.0)))
+    now = states.select("region", "h", "active", "bin").join(wanted, ["region", "h"]).join(rate, ["day", "bin"]).join(level, ["region", "day"])
+    p = F.when(F.col("active") == 0, F.least(F.greatest(F.col("rate") * F.col("level"), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("rate"))
+    return now.select("region", "h", "lead", p.alias("p"))
+
+
 def causal(model: DataFrame, now: DataFrame) -> DataFrame:
     """(region, h, lead, p) of model(region, row_h, k, p): the forecast of row h - 1 serves departure
     h with lead k - 1; at lead 0 an alert that runs now (now(region, h, active)) is certain."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,28 @@ def project(lon: Column, lat: Column, lat0: float = 48.5, radius: float = 6_371_
     return F.radians(lon) * radius * F.cos(F.radians(F.lit(lat0))), F.radians(lat) * radius
 
 
+def albers(lon: Column, lat: Column, lon0: float = -96.0, lat0: float = 23.0, lat1: float = 29.5, lat2: float = 45.5) -> tuple[Column, Column]:
+    """Metres in an equal-area conic projection on the GRS 80 ellipsoid; the defaults are those usual for
+    the conterminous United States."""
+    a, e2 = 6_378_137.0, 0.0066943800229
+    e = math.sqrt(e2)
+
+    def q_of(s: float) -> float:
+        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    def m_of(phi: float) -> float:
+        return math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+
+    p0, p1, p2 = map(math.radians, (lat0, lat1, lat2))
+    n = (m_of(p1) ** 2 - m_of(p2) ** 2) / (q_of(math.sin(p2)) - q_of(math.sin(p1)))
+    c = m_of(p1) ** 2 + n * q_of(math.sin(p1))
+    s = F.sin(F.radians(lat))
+    q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    rho, rho0 = a / n * F.sqrt(c - n * q), a / n * math.sqrt(c - n * q_of(math.sin(p0)))
+    theta = n * F.radians(lon - lon0)
+    return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
@@ -33,6 +57,91 @@ def near(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).select("id", "other", "d")
 
 
+def pairs_within(points: DataFrame, radius: float) -> DataFrame:
+    """All (id, other, d) with id < other within radius of one another, of points(id, x, y)."""
+    return near(points, points, radius).where("id < other")
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The distance of a point from a straight segment."""
+    dx, dy = x2 - x1, y2 - y1
+    at = F.greatest(F.least(F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return F.sqrt(F.pow(x - x1 - at * dx, F.lit(2)) + F.pow(y - y1 - at * dy, F.lit(2)))
+
+
+def ring_segments(polygons: DataFrame) -> DataFrame:
+    """(label, x1, y1, x2, y2) of the sides of polygons(label, ring)."""
+    after = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+    side = F.explode(F.zip_with("ring", after, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))))
+    return polygons.select("label", side.alias("s")).select("label", "s.*")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+    """(id, label, d): of segments(label, x1, y1, x2, y2) the nearest within radius of each of points(id,
+    x, y), ties to the smaller label. A segment is dealt to the cells of its box, widened by radius."""
+    span = lambda a, b: F.sequence(cell(F.least(a, b) - radius, radius), cell(F.greatest(a, b) + radius, radius))
+    s = segments.select("*", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx")).select("*", F.explode(span(F.col("y1"), F.col("y2"))).alias("cy"))
+    p = points.withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius))
+    d = segment_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
+    hit = p.join(s, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius)
+    return hit.groupBy("id").agg(F.min(F.struct("d", "label")).alias("m")).select("id", "m.label", "m.d")
+
+
+def touching(polygons: DataFrame, buffer: float) -> DataFrame:
+    """(label, other) both ways for polygons(label, ring) whose sides come within buffer of each other:
+    a corner of one that near a side of the other, or sides that cross."""
+    s = ring_segments(polygons)
+    span = lambda a, b: F.sequence(cell(F.least(a, b) - buffer, 10 * buffer), cell(F.greatest(a, b) + buffer, 10 * buffer))
+    dealt = s.select("*", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx")).select("*", F.explode(span(F.col("y1"), F.col("y2"))).alias("cy"))
+    o = dealt.select("cx", "cy", F.col("label").alias("other"), *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
+    a, b = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"o{c}") for c in ("x1", "y1", "x2", "y2")]
+    close = F.least(segment_distance(a[0], a[1], *b), segment_distance(a[2], a[3], *b), segment_distance(b[0], b[1], *a), segment_distance(b[2], b[3], *a)) <= buffer
+    turn = lambda p, q, x, y: (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0])
+    cross = (turn(a[:2], a[2:], b[0], b[1]) * turn(a[:2], a[2:], b[2], b[3]) < 0) & (turn(b[:2], b[2:], a[0], a[1]) * turn(b[:2], b[2:], a[2], a[3]) < 0)
+    return dealt.join(o, ["cx", "cy"]).where((F.col("label") != F.col("other")) & (close | cross)).select("label", "other").distinct()
+
+
+def densified(points: DataFrame, step: float) -> DataFrame:
+    """(route, s, x, y): a point each ``step`` along the line through points(route, i, x, y), from its
+    start to before its end. Every segment makes the points that lie on it, so nothing is joined."""
+    w = Window.partitionBy("route").orderBy("i")
+    d = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
+    p = points.select("route", "i", "x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null").withColumn("d", d)
+    p = p.withColumn("b", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.coalesce(F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    first, last = F.ceil(F.col("a") / step), F.ceil(F.col("b") / step) - 1
+    p = p.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)))).withColumn("s", F.col("k") * step)
+    at = F.coalesce(F.try_divide(F.col("s") - F.col("a"), F.col("d")), F.lit(0.0))
+    return p.select("route", "s", (F.col("x") + (F.col("x2") - F.col("x")) * at).alias("x"), (F.col("y") + (F.col("y2") - F.col("y")) * at).alias("y"))
+
+
+def events_along(dense: DataFrame, marks: DataFrame, tolerance: float, merge: float) -> DataFrame:
+    """(route, n): marks(id, x, y) within tolerance of the route's points, each at its nearest one;
+    neighbours at most ``merge`` apart along the route count once."""
+    p = dense.select(F.struct("route", "s").alias("id"), "x", "y")
+    hit = near(marks, p, tolerance).groupBy("id", F.col("other.route").alias("route")).agg(F.min(F.struct("d", F.col("other.s").alias("s"))).alias("m"))
+    return merged_count(hit.select("route", F.col("m.s").alias("s")), ["route"], "s", merge)
+
+
+def covered_km(dense: DataFrame, marks: DataFrame, tolerance: float, step: float, gap: float = 500.0) -> DataFrame:
+    """(route, km, passages): how much of a route lies within tolerance of marks(id, x, y), by its points
+    each ``step`` apart, and in how many stretches more than ``gap`` apart."""
+    p = dense.select(F.struct("route", "s").alias("id"), "x", "y")
+    on = near(p, marks, tolerance).select("id").distinct().select("id.route", "id.s")
+    km = on.groupBy("route").agg((F.count("*") * step / 1000).alias("km"))
+    return km.join(merged_count(on, ["route"], "s", gap).withColumnRenamed("n", "passages"), "route")
+
+
+def coded_km(points: DataFrame, spans: DataFrame, good: tuple[int, ...]) -> DataFrame:
+    """(route, km) in spans(route, a, b, code) of point places whose code isn't good, of points(route, i,
+    metres), metres being of the segment that ends in a point."""
+    w = Window.partitionBy("route").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    p = points.select("route", "i", F.sum("metres").over(w).alias("cum"))
+    n = points.groupBy("route").agg(F.max("i").alias("end"))
+    s = spans.where(~F.col("code").isin(*good)).join(n, "route").withColumn("b", F.least("b", "end"))
+    at = lambda c: p.select("route", F.col("i").alias(c), F.col("cum").alias(f"at_{c}"))
+    return s.join(at("a"), ["route", "a"]).join(at("b"), ["route", "b"]).groupBy("route").agg((F.sum(F.col("at_b") - F.col("at_a")) / 1000).alias("km"))
+
+
 def nearest(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """(id, other, d): the nearest other within radius, ties to the smaller."""
     return near(points, others, radius).groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", "m.other", "m.d")

@@ -11,12 +11,17 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def per_lead(features: DataFrame, columns: list[str], leads: list[int], calibrate_from: int, test_from: int, trees: int = 10, depth: int = 4) -> DataFrame:
     """(region, h, k, p) for rows from test_from on. features(region, h, columns, y_k for each k).
     Rows whose target hour h + k lies beyond the next boundary are left out of training and
-    calibration, so no model sees the period that it is judged on."""
-    ready = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="keep").transform(features)
+    calibration, so no model sees the period that it is judged on. A missing feature counts as -1, below
+    all others. The assembled features are written once, for every model reads them many times."""
+    full = features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in columns})
+    ready = VectorAssembler(inputCols=columns, outputCol="x").transform(full)
+    ready = checkpointed(ready.select("region", "h", "x", *(f"y_{k}" for k in leads)))
     out = None
     for k in leads:
         y = F.col(f"y_{k}").cast("double")
@@ -31,57 +36,93 @@ def per_lead(features: DataFrame, columns: list[str], leads: list[int], calibrat
     return out
 
 
-def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
+def rolling_origin(features: DataFrame, columns: list[str], leads: list[int], windows: list[tuple[int, int, int]], trees: int = 10, depth: int = 4) -> DataFrame:
+    """(window, region, h, k, p): per_lead trained anew for each window (calibrate_from, test_from,
+    end), judged on its own hours only."""
+    out = None
+    for i, (calibrate_from, test_from, end) in enumerate(windows):
+        p = per_lead(features.where(F.col("h") < end), columns, leads, calibrate_from, test_from, trees, depth).withColumn("window", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    return out.select("window", "region", "h", "k", "p")
+
+
+def _logit(p: np.ndarray, edge: float) -> np.ndarray:
+    p = np.clip(p, edge, 1 - edge)
     return np.log(p / (1 - p))
 
 
-def recalibrate(forecast: DataFrame, days: int = 42, shrink: float = 14.0, most: float = 1.5) -> DataFrame:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def recalibrate(forecast: DataFrame, days: int = 42, shrink: float = 14.0, most: float = 1.5, first_day: int | None = None) -> DataFrame:
     """(region, h, lead, p) of forecast(region, h, lead, p, y): for each day, region and lead the
-    logit is shifted by the offset that fits the days before best, shrunk by d / (d + shrink)."""
+    logit is shifted by the offset that fits best the forecasts whose feature row (the hour before
+    departure) lies in the ``days`` days before and whose target hour is over when the day begins;
+    shrunk by d / (d + shrink) over the d days that have data, and at most ``most``. Days before
+    first_day stay as they are. A region's lead is one group: its length is the time span, and
+    regions add groups."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("h").reset_index(drop=True)
-        z, y, day = _logit(g["p"].to_numpy(float)), g["y"].to_numpy(float), (g["h"] // 24).to_numpy()
-        ripe = (g["h"] + g["lead"]).to_numpy()
-        out = np.empty(len(g))
+        p, y, h = (g[c].to_numpy(float) for c in ("p", "y", "h"))
+        z, day, target, out = _logit(p, 1e-4), h // 24, h + g["lead"].to_numpy(), p.copy()
         for d in np.unique(day):
-            past = (day >= d - days) & (ripe < d * 24) & ~np.isnan(y)
-            b = 0.0
+            if first_day is not None and d < first_day:
+                continue
+            lo, hi = np.searchsorted(h, [(d - days) * 24 + 1, d * 24])
+            past = np.arange(lo, hi)[(target[lo:hi] < d * 24) & ~np.isnan(y[lo:hi])]
+            if not len(past):
+                continue
+            x, seen, offset = z[past], y[past], 0.0
             for _ in range(6):
-                q = 1 / (1 + np.exp(-(z[past] + b)))
-                b += (y[past] - q).sum() / ((q * (1 - q)).sum() + 1e-6)
-                b = float(np.clip(b, -9, 9))
-            n = len(np.unique(day[past]))
-            b = float(np.clip(b * n / (n + shrink), -most, most))
+                q = _sigmoid(x + offset)
+                offset = float(np.clip(offset + (seen - q).sum() / ((q * (1 - q)).sum() + 1e-6), -5, 5))
+            n = len(np.unique((h[past] - 1) // 24))
             now = day == d
-            out[now] = 1 / (1 + np.exp(-(z[now] + b)))
+            out[now] = _sigmoid(z[now] + np.clip(offset * n / (n + shrink), -most, most))
         return g.assign(p=out)[["region", "h", "lead", "p"]]
 
     return forecast.groupBy("region", "lead").applyInPandas(run, "region long, h long, lead long, p double")
 
 
-def stack(forecast: DataFrame, days: int = 42, ridge: float = 1.0) -> DataFrame:
-    """(region, h, lead, p) of forecast(region, h, lead, p1, p2, y): each day a logistic mix of two
-    forecasts, ridged toward even weights, refitted on the days before."""
+def stack(forecast: DataFrame, days: int = 42, ridge: float = 1.0, start: int = 0, least: int = 48, block: int = 14) -> DataFrame:
+    """(region, h, lead, p) of forecast(region, h, lead, p1, p2, y): per lead and day a logistic mix of
+    two forecasts, fitted over all regions to departures of the ``days`` days before (not before the
+    hour ``start``) whose target hour is over; the two slopes, not the intercept, are ridged toward a
+    half each. With ``least`` hours or fewer the prior stands.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["h", "region"]).reset_index(drop=True)
-        x = np.column_stack([np.ones(len(g)), _logit(g["p1"].to_numpy(float)), _logit(g["p2"].to_numpy(float))])
-        y, day, ripe = g["y"].to_numpy(float), (g["h"] // 24).to_numpy(), (g["h"] + g["lead"]).to_numpy()
-        prior, out = np.array([0.0, 0.5, 0.5]), np.empty(len(g))
-        for d in np.unique(day):
-            past = (day >= d - days) & (ripe < d * 24) & ~np.isnan(y)
-            b = prior.copy()
-            for _ in range(8 if past.any() else 0):
-                q = 1 / (1 + np.exp(-np.clip(x[past] @ b, -30, 30)))
-                grad = x[past].T @ (y[past] - q) - ridge * (b - prior)
-                b += np.linalg.solve((x[past] * (q * (1 - q))[:, None]).T @ x[past] + (ridge + 1e-6) * np.eye(3), grad)
-            now = day == d
-            out[now] = 1 / (1 + np.exp(-np.clip(x[now] @ b, -30, 30)))
-        return g.assign(p=out)[["region", "h", "lead", "p"]]
+    A fit needs its window's rows of all regions, so a group is a lead and ``block`` days with the
+    days before them: no group grows with the history."""
+    day = F.floor(F.col("h") / 24)
+    blocks = F.sequence(F.floor(day / block), F.floor((day + days) / block))
+    rows = forecast.select("region", "h", "lead", "p1", "p2", "y", F.explode(blocks).alias("block"))
 
-    return forecast.groupBy("lead").applyInPandas(run, "region long, h long, lead long, p double")
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["h", "region"]).reset_index(drop=True)
+        x = np.column_stack([np.ones(len(g)), *(np.clip(_logit(g[c].to_numpy(float), 1e-6), -9, 9) for c in ("p1", "p2"))])
+        y, h = g["y"].to_numpy(float), g["h"].to_numpy()
+        target, prior, pull = h + g["lead"].to_numpy(), np.array([0.0, 0.5, 0.5]), ridge * np.array([0.0, 1.0, 1.0])
+        first = int(key[1]) * block
+        out, now = np.full(len(g), np.nan), np.zeros(len(g), bool)
+        for d in range(first, first + block):
+            lo, hi = np.searchsorted(h, [d * 24, d * 24 + 24])
+            if lo == hi:
+                continue
+            a = np.searchsorted(h, max((d - days) * 24, start))
+            past = np.arange(a, lo)[(target[a:lo] < d * 24) & ~np.isnan(y[a:lo])] if a < lo else np.zeros(0, int)
+            w = prior.copy()
+            if len(np.unique(h[past])) > least:
+                xs, ys = x[past], y[past]
+                for _ in range(8):
+                    q = _sigmoid(xs @ w)
+                    slope = xs.T @ (ys - q) - pull * (w - prior)
+                    w = w + np.linalg.solve((xs * (q * (1 - q))[:, None]).T @ xs + np.diag(pull + 1e-6), slope)
+            out[lo:hi] = _sigmoid(x[lo:hi] @ w)
+            now[lo:hi] = True
+        return g.assign(p=out)[["region", "h", "lead", "p"]][now]
+
+    return rows.groupBy("lead", "block").applyInPandas(run, "region long, h long, lead long, p double")
 
 
 def hysteresis(scores: DataFrame, prefer: DataFrame, theta: float) -> DataFrame:

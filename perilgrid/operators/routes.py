@@ -105,6 +105,36 @@ def trade_off(scores: DataFrame, gamma: float, e: str = "e_km", t: str = "t_h",
     return s.withColumn("value", gamma * ratio(F.col("_ye")) + (1 - gamma) * ratio(F.col("_yt"))).drop("_ye", "_yt")
 
 
+def many_criteria(scores: DataFrame, static: list[str], share: Column, gamma_t: float = 0.2, e: str = "e_km", t: str = "t_h", by: tuple[str, ...] = ("corridor", "h")) -> DataFrame:
+    """scores with value: the weighted sum of 1 / (1 - y) over criteria normalised by their sum among the
+    candidates: time with weight gamma_t, the static ones with the weight ``share`` together, exposure
+    with the rest. A candidate that holds all of a criterion with a weight is never chosen."""
+    w = Window.partitionBy(*by)
+    y = {c: F.coalesce(F.when(F.sum(c).over(w) > 0, F.try_divide(F.col(c).cast("double"), F.sum(c).over(w))), F.lit(0.0)) for c in (e, t, *static)}
+    s = scores.select("*", *(v.alias(f"_y_{c}") for c, v in y.items()))
+    part = lambda c, g: F.when(1 - F.col(f"_y_{c}") <= 0, F.when(g > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise(F.try_divide(g, 1 - F.col(f"_y_{c}")))
+    value = part(t, F.lit(gamma_t)) + part(e, 1 - gamma_t - share)
+    for c in static:
+        value = value + part(c, share / len(static))
+    return s.withColumn("value", value).drop(*(f"_y_{c}" for c in y))
+
+
+def churn(choice: DataFrame, by: tuple[str, ...] = ("corridor",)) -> DataFrame:
+    """(by, changes, routes_used) of choice(by, h, route)."""
+    moved = F.col("route") != F.lag("route").over(Window.partitionBy(*by).orderBy("h"))
+    return choice.withColumn("_c", moved.cast("long")).groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("changes"), F.array_sort(F.collect_set("route")).alias("routes_used"))
+
+
+def assembled(seg: DataFrame, tolerance_km: float = 0.05) -> DataFrame:
+    """(corridor, route, pos, d_km, t_h, regions, weights): a corridor's candidates after near-equal ones
+    have gone, with the sorted set of regions and the weights by lead and region, nested."""
+    kept = near_equal(seg, tolerance_km)
+    s = seg.join(kept, list(ROUTE), "left_semi")
+    w = weights(s).groupBy(*ROUTE).agg(F.array_sort(F.collect_list(F.struct("lead", "region", "w"))).alias("weights"))
+    r = s.groupBy(*ROUTE).agg(F.array_sort(F.collect_set("region")).alias("regions"))
+    return summary(s).join(r, list(ROUTE)).join(w, list(ROUTE))
+
+
 def improvement(base: Column, x: Column) -> Column:
     """Percent by which the mean of x is below that of base; null if base is 0."""
     return F.try_divide(100 * (F.avg(base) - F.avg(x)), F.avg(base))

@@ -41,8 +41,10 @@ def auc(forecast: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tails(frame: DataFrame, by: list[str], x: str) -> DataFrame:
-    """(by, mean, p90, p95, cvar95): quantiles interpolate; cvar95 is the mean from the 95 % quantile up."""
-    q = frame.groupBy(*by).agg(F.avg(x).alias("mean"), F.percentile(x, 0.9).alias("p90"), F.percentile(x, 0.95).alias("p95"))
+    """(by, mean, p90, p95, over100, cvar95): quantiles interpolate; over100 is the share above 100, cvar95
+    the mean from the 95 % quantile up."""
+    over = F.avg((F.col(x) > 100).cast("int"))
+    q = frame.groupBy(*by).agg(F.avg(x).alias("mean"), F.percentile(x, 0.9).alias("p90"), F.percentile(x, 0.95).alias("p95"), over.alias("over100"))
     top = frame.join(q.select(*by, "p95"), by).where(F.col(x) >= F.col("p95")).groupBy(*by).agg(F.avg(x).alias("cvar95"))
     return q.join(top, by)
 
@@ -69,14 +71,37 @@ def two_sided(z: Column) -> Column:
     return F.when(z.isNotNull(), t * F.exp(-x * x + fit))
 
 
-def holm(tests: DataFrame, p: str = "p") -> DataFrame:
-    """tests(name, p) with p_holm, the step-down adjusted value; a missing p counts as 1."""
-    w = Window.orderBy("_p", "name")
-    scaled = F.least((F.count("*").over(Window.partitionBy()) - F.row_number().over(w) + 1) * F.col("_p"), F.lit(1.0))
+def holm(tests: DataFrame, p: str = "p", family: list[str] | None = None) -> DataFrame:
+    """tests(family, name, p) with p_holm, the step-down adjusted value within a family of tests; a
+    missing p counts as 1. Tests are adjusted together by definition, so a family is one group."""
+    by = Window.partitionBy(*(family or []))
+    w = by.orderBy("_p", "name")
+    scaled = F.least((F.count("*").over(by) - F.row_number().over(w) + 1) * F.col("_p"), F.lit(1.0))
     t = tests.withColumn("_p", F.coalesce(p, F.lit(1.0))).withColumn("_s", scaled)
     return t.withColumn("p_holm", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_s")
 
 
+def pooled(frame: DataFrame, by: list[str], base: str, x: str) -> DataFrame:
+    """(by, pooled, mean, median, better): the reduction of all rows' sums, and of the rows' own
+    reductions the mean, the median and the share above 0. A row without a base has none."""
+    own = F.try_divide(100 * (F.col(base) - F.col(x)), F.col(base))
+    total = F.try_divide(100 * (F.sum(base) - F.sum(x)), F.sum(base))
+    return frame.withColumn("_r", own).groupBy(*by).agg(total.alias("pooled"), F.avg("_r").alias("mean"), F.percentile("_r", 0.5).alias("median"), F.avg((F.col("_r") > 0).cast("int")).alias("better"))
+
+
+def latency(frame: DataFrame, by: list[str], ms: str) -> DataFrame:
+    """(by, n, min, median, p95, max, mean)."""
+    return frame.groupBy(*by).agg(F.count(ms).alias("n"), F.min(ms).alias("min"), F.percentile(ms, 0.5).alias("median"), F.percentile(ms, 0.95).alias("p95"), F.max(ms).alias("max"), F.avg(ms).alias("mean"))
+
+
+def sample_pairs(spark, nodes: int, q: int, seed: int = 42, salt: int = 0) -> DataFrame:
+    """(i, s, t): q pairs of different nodes below ``nodes``, drawn uniformly with a PCG64 seed."""
+    rng = np.random.default_rng(seed + 7919 * salt + q)
+    s, t = rng.integers(0, nodes, q), rng.integers(0, nodes, q)
+    t = np.where(t == s, (t + 1) % nodes, t)
+    return spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(s, t))], "i long, s long, t long")
+
+
 def spearman(frame: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     r = mid_ranks(mid_ranks(frame, by, x, "_x"), by, y, "_y")
     return r.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
@@ -107,6 +132,13 @@ def bootstrap(series: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
     return rep.groupBy(*by).agg(F.percentile("impr", 0.025).alias("lo"), F.percentile("impr", 0.975).alias("hi"))
 
 
+def masked_bootstrap(series: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """As bootstrap, over the rows of series(by, i, b, x, keep) that are kept; the others keep their
+    places in the blocks but count nothing, and draws without a base have no say."""
+    part = lambda c: F.when(F.col("keep") & F.col("b").isNotNull() & F.col("x").isNotNull(), F.col(c)).otherwise(0.0).alias(c)
+    return bootstrap(series.select(*by, "i", part("b"), part("x")), starts, by)
+
+
 def paired(days: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
     """(by, lo, hi): 95 % interval of the difference of two reductions, of days(by, i, b, x1, x2)."""
     w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

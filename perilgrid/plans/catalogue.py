@@ -595,10 +595,10 @@ def departure_hour(spark, d):
     return low.groupBy("corridor", local.alias("local_hour")).agg(r(F.avg("m")).alias("km"))
 
 
-@query(_pair_sql("SELECT pd.corridor, round(any_value(mean), 6) AS mean, round(any_value(p90), 6) AS p90, round(any_value(q.p95), 6) AS p95, round(avg(x), 6) AS cvar95 FROM pd JOIN (SELECT corridor, avg(x) AS mean, quantile_cont(x, 0.9) AS p90, quantile_cont(x, 0.95) AS p95 FROM pd GROUP BY 1) q ON q.corridor = pd.corridor AND pd.x >= q.p95 - 1e-9 GROUP BY 1"))
+@query(_pair_sql("SELECT pd.corridor, round(any_value(mean), 6) AS mean, round(any_value(p90), 6) AS p90, round(any_value(q.p95), 6) AS p95, round(any_value(q.over100), 6) AS over100, round(avg(x), 6) AS cvar95 FROM pd JOIN (SELECT corridor, avg(x) AS mean, avg((x > 100)::INT) AS over100, quantile_cont(x, 0.9) AS p90, quantile_cont(x, 0.95) AS p95 FROM pd GROUP BY 1) q ON q.corridor = pd.corridor AND pd.x >= q.p95 - 1e-9 GROUP BY 1"))
 def tail_risk(spark, d):
     p = _paired(spark, d).withColumn("x", F.round("x", 9))
-    return stats.tails(p, ["corridor"], "x").select("corridor", r("mean"), r("p90"), r("p95"), r("cvar95"))
+    return stats.tails(p, ["corridor"], "x").select("corridor", r("mean"), r("p90"), r("p95"), r("over100"), r("cvar95"))
 
 
 @query(_pair_sql("SELECT corridor, round(i, 6) AS reduction, cume_dist() OVER (ORDER BY round(i, 6)) AS ecdf FROM (SELECT corridor, 100 * (sum(b) - sum(x)) / sum(b) AS i FROM pd GROUP BY 1 HAVING sum(b) > 0)"))
@@ -672,9 +672,9 @@ def wilcoxon_z(spark, d):
     return stats.wilcoxon(p, ["corridor"]).select("corridor", "n", F.col("w_plus").cast("double").alias("w_plus"), r("z"))
 
 
-@query("SELECT s_suppkey AS name, p, max(least(k * p, 1)) OVER (ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT s_suppkey, p, count(*) OVER () - row_number() OVER (ORDER BY p, s_suppkey) + 1 AS k FROM (SELECT s_suppkey, abs(s_acctbal) / 1e6 AS p FROM supplier))")
+@query("SELECT s_nationkey, s_suppkey AS name, p, max(least(k * p, 1)) OVER (PARTITION BY s_nationkey ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT s_nationkey, s_suppkey, p, count(*) OVER (PARTITION BY s_nationkey) - row_number() OVER (PARTITION BY s_nationkey ORDER BY p, s_suppkey) + 1 AS k FROM (SELECT s_nationkey, s_suppkey, abs(s_acctbal) / 1e6 AS p FROM supplier))")
 def holm(spark, d):
-    return stats.holm(fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("name"), (F.abs("s_acctbal") / 1e6).alias("p")))
+    return stats.holm(fx.table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("name"), (F.abs("s_acctbal") / 1e6).alias("p")), family=["s_nationkey"])
 
 
 @query("SELECT p_brand, round(corr(x, y), 6) AS rho FROM (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS x, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS y FROM part) GROUP BY 1")
@@ -812,12 +812,6 @@ def path_to_route(spark, d):
     return routes.weights(routes.timed(seg, ["place"])).select("corridor", "route", "lead", "region", r("w"))
 
 
-@query()
-def chain_contraction(spark, d):
-    e = fx.road_edges(spark, d).where("v - u = 1 or u % 6 = 0")
-    return graph.contract(e, spark.range(25).where("id % 8 = 0").select(F.col("id").alias("node")))
-
-
 @query(sql("SELECT x, count(*) AS n FROM (SELECT least(u, v) * 100 + greatest(u, v) AS x FROM (SELECT DISTINCT src % 5 AS u, dst % 5 AS v FROM ar)) WHERE x % 100 <> x // 100 GROUP BY 1", "ar"))
 def adjacency_rollup(spark, d):
     a = fx.adjacency(fx.road_edges(spark, d)).select((F.col("region") % 5).alias("a"), (F.col("other") % 5).alias("b")).where("a <> b").distinct()
@@ -877,12 +871,16 @@ def gap_merge_count(spark, d):
 # --- learning and streaming --------------------------------------------------------------------
 
 
+#: A model for each lead.
+ALL_LEADS = range(1, 20)
+
+
 @query()
 def per_lead_gbt(spark, d):
     p = fx.presence(spark, d)
     lags = {f"lag{n}": ft.lag0(n) for n in (1, 2, 3, 6, 24)}
-    f = p.select("region", "h", "a", *(c.alias(n) for n, c in lags.items()), ft.rolling(24)["mean"].alias("r24"), *(F.lead("a", k).over(ft.by_region()).alias(f"y_{k}") for k in (1, 6)))
-    return learn.per_lead(f, ["a", *lags, "r24"], [1, 6], 360, fx.TEST).select("region", "h", "k", r("p"))
+    f = p.select("region", "h", "a", *(c.alias(n) for n, c in lags.items()), ft.rolling(24)["mean"].alias("r24"), *(F.lead("a", k).over(ft.by_region()).alias(f"y_{k}") for k in ALL_LEADS))
+    return learn.per_lead(f, ["a", *lags, "r24"], list(ALL_LEADS), 360, fx.TEST, trees=5, depth=3).select("region", "h", "k", r("p"))
 
 
 @query()

@@ -32,6 +32,12 @@ def alert_log(spark: SparkSession, path: str, aliases: dict[str, str] | None = N
     return d.dropna(subset=["oblast", "started_at", "finished_at"])
 
 
+def dated(spark: SparkSession, path: str, schema: str, dates: dict[str, str]) -> DataFrame:
+    """A CSV with date columns in formats of their own; a value that isn't one becomes null."""
+    d = spark.read.schema(schema).option("header", True).csv(path)
+    return d.withColumns({c: F.try_to_timestamp(c, F.lit(f)) for c, f in dates.items()})
+
+
 def normalised(c: F.Column, aliases: dict[str, str]) -> F.Column:
     """One apostrophe, single spaces, and current names."""
     c = F.trim(F.regexp_replace(F.regexp_replace(c, "[’ʼ`']", "’"), r"\s+", " "))
@@ -70,6 +76,16 @@ def polygons(spark: SparkSession, path: str, name: str, aliases: dict[str, str]
     return r.select("label", area.alias("area"), "ring", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def districts(spark: SparkSession, path: str, name: str, group: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(grp, districts) of a GeoJSON file: each group's districts (name, ring), sorted by name."""
+    f = spark.read.schema(POLYGONS).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    single = F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
+    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+    p = f.select(normalised(F.col("f.properties")[group], aliases or {}).alias("grp"), F.col("f.properties")[name].alias("name"), F.explode(F.when(F.col("f.geometry.type") == "Polygon", single).otherwise(many)).alias("p"))
+    ring = F.transform(F.col("p")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+    return p.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("name", ring.alias("ring")))).alias("districts"))
+
+
 def route_points(spark: SparkSession, path: str, corridor: str) -> DataFrame:
     """(corridor, route, i, lon, lat, km_total, h_total) of a routing service's GeoJSON answer."""
     f = spark.read.schema(ROUTES).option("multiLine", True).json(path).select(F.posexplode("features").alias("route", "f"))
@@ -86,6 +102,13 @@ def route_steps(spark: SparkSession, path: str, corridor: str) -> DataFrame:
     return s.select(F.lit(corridor).alias("corridor"), "route", "step", F.col("s.way_points")[0].alias("first"), F.col("s.way_points")[1].alias("last"), F.col("s.duration").alias("duration_s"))
 
 
+def route_extras(spark: SparkSession, path: str, corridor: str) -> DataFrame:
+    """(corridor, route, a, b, code): the spans of points with one surface."""
+    f = spark.read.schema(ROUTES).option("multiLine", True).json(path).select(F.posexplode("features").alias("route", "f"))
+    s = f.select("route", F.explode("f.properties.extras.surface.values").alias("v"))
+    return s.select(F.lit(corridor).alias("corridor"), "route", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"), F.col("v")[2].alias("code"))
+
+
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of nodes.csv and edges.csv; an edge's profile is a JSON list in one column."""
     nodes = spark.read.schema("node_id int, lon double, lat double, city string").option("header", True).csv(f"{folder}/nodes.csv")
@@ -94,8 +117,9 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def osm(spark: SparkSession, nodes_path: str, ways_path: str, classes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, lon, lat, tags) and the ways (id, refs, tags) of given road classes, converted from
-    an extract to Parquet beforehand; kmh is the numeric part of the maximum speed."""
+    """Nodes (id, lon, lat, tags) and the ways (id, refs, tags) of given road classes, from an extract that
+    was converted to Parquet (binary.roads reads one itself); kmh is the numeric part of the maximum
+    speed."""
     ways = spark.read.parquet(ways_path).where(F.col("tags")["highway"].isin(*classes))
     speed = F.expr("try_cast(split(tags['maxspeed'], ' ')[0] as double)")
     bridge = F.coalesce(F.col("tags")["bridge"] != "no", F.lit(False))

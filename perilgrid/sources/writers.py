@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -27,6 +29,24 @@ def jdbc(df: DataFrame, url: str, name: str, batch: int = 20_000, **properties:
     df.write.mode("append").option("batchsize", batch).jdbc(url, name, properties=properties)
 
 
+def in_batches(df: DataFrame, send: Callable[[list[dict]], None], size: int = 20_000) -> None:
+    """Hands the rows to ``send`` as lists of dictionaries, from every partition by itself, as bulk
+    statements of a graph store want them. send has to bear being handed rows twice: a task that fails
+    is repeated."""
+
+    def run(rows: Iterable[Row]) -> None:
+        held: list[dict] = []
+        for r in rows:
+            held.append(r.asDict(recursive=True))
+            if len(held) == size:
+                send(held)
+                held = []
+        if held:
+            send(held)
+
+    df.foreachPartition(run)
+
+
 def _cells(df: DataFrame, digits: int, most: int) -> list[list[str]]:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:

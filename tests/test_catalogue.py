@@ -37,9 +37,33 @@ def test_oracle(spark, duck, name):
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in res.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["yen_limited_overlap", "penalty_candidates", "chain_contraction", "hysteresis", "bootstrap_ci"])
+#: Queries without an oracle: the columns that hold shares or probabilities, and what must not be empty.
+OTHERS = {
+    "yen_paths": (), "yen_limited_overlap": (), "penalty_candidates": (), "risk_weighted_paths": (), "path_overlap": ("share",), "path_to_route": ("w",),
+    "hysteresis": (), "bootstrap_ci": (), "paired_ci": (), "masked_ci": (), "recalibrate": ("p",), "stacking": ("p",), "semi_markov_forecast": ("p",),
+    "rolling_origin": ("p",), "anchored_training": ("p",), "network_evaluation": (), "network_pooled": (), "candidate_sweep": (), "rail_crossings": (), "bridges_and_slow_km": (),
+    "fleet_1000_secondary": (), "yen_100_primary": (), "hops_100_secondary": (), "reroute_24h_corridor": (), "per_lead_gbt": ("p",),
+}
+
+
+def test_every_query_is_tested():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES) | set(OTHERS)
+
+
+@pytest.mark.parametrize("name", sorted(set(OTHERS) - {"per_lead_gbt"}))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+    df = catalogue.QUERIES[name](spark, SF)
+    got = df.collect()
+    assert got and all(0 <= r[c] <= 1 + 1e-9 for r in got for c in OTHERS[name])
+
+
+def test_networks_have_the_published_sizes(spark):
+    from perilgrid.plans import network
+
+    for size, (side, edges) in network.SIZES.items():
+        e = network.network(spark, size)
+        assert abs(e.count() - edges) <= max(10, 0.01 * edges)
+        assert e.selectExpr("explode(array(u, v)) as n").distinct().count() == side * side
 
 
 def test_entry(spark):
