@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 _CACHE = 50_000
@@ -91,7 +93,7 @@ def train(labelled: DataFrame, docs_per_lang: int = 1500, words_per_lang: int =
     chosen = F.lit(False)
     for lang in langs:
         chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < math.ceil(share[lang] * 1e6)))
-    counts = labelled.where(chosen).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = labelled.where(chosen).select("lang", "text").mapInArrow(tidied(_count_words), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     words: dict[str, dict[str, int]] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= words_per_lang).collect():
@@ -143,7 +145,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             )
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(tidied(run), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

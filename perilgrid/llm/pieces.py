@@ -26,11 +26,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "\ud800"  # a lone surrogate: UTF-8 text has none
 UNKNOWN_PENALTY = 10.0
-CACHE_BYTES = 40 << 20  # of parts in a worker's cache; as many again that were used before these
+CACHE_BYTES = 64 << 20  # of parts in a worker's cache; as many again that were used before these
 _NEVER = -1e8  # pieces with lower scores are there for other uses than scoring
 
 
@@ -77,9 +79,7 @@ class Pieces:
             pattern = f"{MARK}*(?:[{held}]+|[{rest}]+)|{MARK}+|[^{MARK}{held}{rest}]"
         # a text's own space marks come as OWN_MARK, which no piece and no text holds
         self.parts = re.compile(pattern).findall
-        self.cache: dict[str, tuple[bytes, float, float, bytes]] = {}
-        self.older: dict[str, tuple[bytes, float, float, bytes]] = {}
-        self.held = 0
+        self.cache = _Parts(self)
 
     def lattice(self, part: str) -> tuple[list[float], list[list[tuple[float, int, int | tuple[int, ...]]]]]:
         """The best score of each prefix, and the edges (score, start, piece or bytes) into each place."""
@@ -108,15 +108,21 @@ class Pieces:
         return best, into
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a part, best first, by A* from its end. Of equal scores, that
-        whose later pieces start earlier comes first.
+        """The n best segmentations of a part, best first. Of equal scores, that whose later pieces
+        start earlier comes first."""
+        return self._search(part, n, n)[0]
+
+    def _search(self, part: str, n: int, complete: int) -> tuple[list[tuple[float, list[int]]], float]:
+        """A* from the part's end, as far as ``complete`` of the n best segmentations, and the score of
+        the next (-inf: there is none).
 
         The heuristic is exact, so an open hypothesis stands for a segmentation of just its f: the
-        open list needs no more than the n best, less those that are complete."""
+        open list needs no more than the n best, less those that are complete, and its first is the
+        next segmentation's score."""
         best, into = self.lattice(part)
         open_: list[tuple] = [(-best[-1], 0, len(part), 0.0, None)]
         out, count = [], 0
-        while open_ and len(out) < n:
+        while open_ and len(out) < complete:
             f, _, at, score, tail = open_.pop(0)
             if at == 0:
                 ids: list[int] = []
@@ -125,34 +131,28 @@ class Pieces:
                     tail = tail[1]
                 out.append((-f, ids))
                 continue
-            most = n - len(out)
+            room = n - len(out) - len(open_)
             for s, start, piece in into[at]:
                 count += 1
                 g = score + s
                 f = -(g + best[start])
-                if len(open_) < most:
-                    insort(open_, (f, count, start, g, (piece, tail)))
+                if room > 0:
+                    room -= 1
                 elif f < open_[-1][0]:
                     open_.pop()
-                    insort(open_, (f, count, start, g, (piece, tail)))
-        return out
+                else:
+                    continue
+                insort(open_, (f, count, start, g, (piece, tail)))
+        return out, -open_[0][0] if open_ else float("-inf")
 
     def pack(self, ids: list[int]) -> bytes:
         return array("I" if self.wide else "H", ids).tobytes()
 
-    def part(self, part: str) -> tuple[bytes, float, float, bytes]:
-        """Packed ids and score of the best segmentation, how much the next best falls short (inf if
-        there is none), and the next best's packed ids."""
-        value = self.older.get(part)
-        if value is None:
-            found = self.search(part, 2)
-            (best, ids), (second, others) = found[0], found[1] if len(found) > 1 else (float("-inf"), [])
-            value = (self.pack(ids), best, best - second, self.pack(others))
-        self.held += 330 + 2 * len(part) + len(value[0]) + len(value[3])
-        if self.held > CACHE_BYTES:
-            self.older, self.cache, self.held = self.cache, {}, 0
-        self.cache[part] = value
-        return value
+    def part(self, part: str) -> tuple[bytes, float, float]:
+        """Packed ids and score of the best segmentation, and how much the next best falls short (inf if
+        there is none)."""
+        ((best, ids),), second = self._search(part, 2, 1)
+        return self.pack(ids), best, best - second
 
     def split(self, text: str) -> list[str]:
         """The parts of a text, with a space mark put before it."""
@@ -160,16 +160,18 @@ class Pieces:
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """Scores and packed ids of the two best segmentations of a text, or of the only one: the
-        second differs from the best in the part whose next best falls least short."""
-        found = [self.cache.get(p) or self.part(p) for p in self.split(text or "")]
-        packed, best = [x[0] for x in found], sum([x[1] for x in found])
+        second differs from the best in the part whose next best falls least short, and only there is
+        the search taken on to the second one's pieces."""
+        parts = self.split(text or "")
+        if not parts:
+            return [(0.0, b"")]
+        packed, scores, shorts = zip(*map(self.cache.__getitem__, parts))
+        best, short = sum(scores), min(shorts)
         out = [(best, b"".join(packed))]
-        shorts = [x[2] for x in found]
-        short = min(shorts, default=float("inf"))
         if short != float("inf"):
             k = shorts.index(short)
-            packed[k] = found[k][3]
-            out.append((best - short, b"".join(packed)))
+            other = self.pack(self.search(parts[k], 2)[1][1])
+            out.append((best - short, b"".join((*packed[:k], other, *packed[k + 1 :]))))
         return out
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
@@ -192,6 +194,23 @@ class Pieces:
         return b"".join([of[i] for i in self.unpack(packed)])[1:].decode("utf-8", "replace")
 
 
+class _Parts(dict):
+    """What Pieces.part gives for each part, kept within CACHE_BYTES; what was kept before that, too."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.older, self.held = pieces, {}, 0
+
+    def __missing__(self, part: str) -> tuple[bytes, float, float]:
+        value = self.older.get(part) or self.pieces.part(part)
+        self.held += 250 + 2 * len(part) + len(value[0])
+        if self.held > CACHE_BYTES:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[part] = value
+        return value
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str = MODEL) -> Pieces:
     return Pieces(path)
@@ -239,7 +258,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     names = ["doc_id", "n_pieces", "best_score", "second_score", "pieces_sha256", "n_decoded", "round_trip", "second_sha256", "second_round_trip", "ids"][: 10 if with_ids else 9]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_pieces bigint, best_score double, second_score double, pieces_sha256 string, n_decoded bigint, round_trip boolean, second_sha256 string, second_round_trip boolean" + ", ids array<int>" * with_ids
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -251,4 +270,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if x is None else p.decode(p.pack(x)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

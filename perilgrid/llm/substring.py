@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, release, save, text_batches, utf8
+from .common import drop, release, save, text_batches, tidied, utf8
 
 WINDOW, GRAM = 50, 8
 CHUNK = 1 << 18
@@ -148,7 +148,7 @@ def runs(docs: DataFrame) -> DataFrame:
                         ["lead", "content", "doc_id", "rid", "at", "n"],
                     )
 
-    return docs.mapInArrow(run, f"lead bigint, content binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int, n int")
+    return docs.mapInArrow(tidied(run), f"lead bigint, content binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int, n int")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 own = pa.array(np.full(len(at), i))
                 yield pa.RecordBatch.from_arrays([w, b.column("doc_id").take(own), b.column("rid").take(own), pa.array(at.astype(np.int32))], ["w", "doc_id", "rid", "at"])
 
-    return docs.mapInArrow(run, f"w binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int")
+    return docs.mapInArrow(tidied(run), f"w binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid bigint, at int")
 
 
 def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
@@ -275,7 +275,7 @@ def _cut(docs: DataFrame, id_kind: str, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"doc_id {id_kind}, rid bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _cuts(keys: DataFrame, batches: int) -> list:

@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that this public vocabulary was made with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,7 +57,7 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    return d.mapInArrow(tidied(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -68,7 +70,7 @@ def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABUL
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens bigint, n_docs bigint")
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "n_tokens bigint, n_docs bigint")
     return found.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

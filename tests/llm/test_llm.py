@@ -83,6 +83,40 @@ def test_representatives_with_null_and_repeated_ids(spark):
     assert simhash.representatives(docs(spark, rows).limit(0)).count() == 0
 
 
+def brute_groups(rows, n=5, least=0.8):
+    """Of (doc_id, text) with ids: the smallest id of each group that similar shingle sets connect."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if (sets[a] or sets[b]) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    empty = [i for i in sets if not sets[i]]
+    linked += list(zip(empty, empty[1:]))
+    return components(list(sets), linked), linked
+
+
+def test_representatives_of_similar_texts(spark):
+    rnd = random.Random(17)
+    passage = words(rnd, 90, 5000)  # one that most texts share and that makes no two alike
+    rows, n = [], 0
+    for _ in range(25):
+        base = words(rnd, rnd.randrange(60, 500), 5000) + (passage if rnd.random() < 0.7 else [])
+        for _ in range(rnd.randrange(1, 6)):
+            w = list(base)
+            for _ in range(rnd.randrange(0, 1 + len(w) // 60)):
+                w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    rows += [(900, ""), (901, None), (902, "a b"), (903, "A  B"), (904, "a c"), (905, rows[3][1]), (906, rows[3][1].upper() + "\n")]
+    low, linked = brute_groups(rows)
+    got = {r["doc_id"] for r in simhash.representatives(docs(spark, rows)).collect()}
+    want = {i for i in low if low[i] == i}
+    assert want <= got and {905, 906, 901, 903} & got == set()  # nothing goes without a similar text, no copy stays
+    gone = sum(low[i] != i for i in low)
+    assert gone > 25 and len(got - want) <= 0.1 * gone
+    assert {x.name for x in simhash.representatives(docs(spark, rows)).schema} == {x.split()[0] for x in DOC.split(", ")}
+
+
 def brute_cut(rows):
     first = {}
     for i, t in rows:
@@ -434,7 +468,7 @@ def test_the_cache_is_bounded():
     try:
         texts = [" ".join("".join(rnd.choices("abcdefg", k=6)) for _ in range(50)) for _ in range(40)]
         first = [p.encode(t) for t in texts]
-        assert len(p.cache) + len(p.older) < 400
+        assert len(p.cache) + len(p.cache.older) < 400
         assert first == [p.encode(t) for t in texts]
     finally:
         pieces.CACHE_BYTES = old
