@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,16 +19,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Tables that several parts of the query being built read.
+_shared: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared", default=None)
+
+
 def query(oracle: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            token = _shared.set({} if _shared.get() is None else _shared.get())
+            try:
+                return f(spark, d)
+            finally:
+                _shared.reset(token)
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLES[f.__name__] = oracle
-        return f
+        return run
 
     return add
 
 
+def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make gives, written once for the query being built, so that the facts behind it are
+    scanned and joined once however many parts of the query read it."""
+    held = _shared.get()
+    if held is None:
+        return make()
+    if name not in held:
+        held[name] = graph.checkpointed(make())
+    return held[name]
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    return once("segments", lambda: fx.segments(spark, d))
+
+
+def presence(spark: SparkSession, d: str) -> DataFrame:
+    return once("presence", lambda: fx.presence(spark, d))
+
+
 def r(c: str | F.Column, digits: int = 6) -> F.Column:
     """A rounded double, free of negative zero."""
     name = c if isinstance(c, str) else None
@@ -339,8 +372,8 @@ def route_dedupe(spark, d):
 
 
 def _realized(spark, d):
-    seg = fx.segments(spark, d)
-    return routes.realized(fx.decision_hours(), routes.weights(seg), fx.presence(spark, d), routes.summary(seg))
+    seg = segments(spark, d)
+    return routes.realized(fx.decision_hours(), routes.weights(seg), presence(spark, d), routes.summary(seg))
 
 
 @query(sql("SELECT corridor, route, h, round(share, 6) + 0.0 AS share, round(km, 6) + 0.0 AS km FROM re", "re"))
@@ -350,21 +383,21 @@ def exposure_km(spark, d):
 
 @query(sql("SELECT t.corridor, t.route, dh.h, round(coalesce(sum(hours) FILTER (a = 1), 0), 6) + 0.0 AS hours FROM (SELECT corridor, route, l.lead AS lead, region, sum(greatest(least(exit_h, l.lead + 1) - greatest(enter_h, l.lead), 0)) AS hours FROM sg, range(19) l(lead) WHERE l.lead BETWEEN floor(enter_h + 1e-9) AND floor(exit_h - 1e-9) GROUP BY ALL) t CROSS JOIN dh JOIN pr ON pr.region = t.region AND pr.h = dh.h + t.lead GROUP BY 1, 2, 3", "sg dh pr"))
 def exposure_hours(spark, d):
-    seg = fx.segments(spark, d)
+    seg = segments(spark, d)
     per = routes.hours_in(seg).withColumnRenamed("hours", "w")
-    out = routes.realized(fx.decision_hours(), per, fx.presence(spark, d), routes.summary(seg))
+    out = routes.realized(fx.decision_hours(), per, presence(spark, d), routes.summary(seg))
     return out.select("corridor", "route", "h", r("share").alias("hours"))
 
 
 @query(sql("SELECT s.corridor, s.route, p.h, round(sum(w * m), 6) + 0.0 AS share FROM (SELECT corridor, route, region, km / sum(km) OVER (PARTITION BY corridor, route) AS w FROM sg) s JOIN (SELECT region, h, max(a) OVER (PARTITION BY region ORDER BY h ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS m FROM pr) p ON p.region = s.region AND p.h BETWEEN 480 AND 702 GROUP BY 1, 2, 3", "sg pr"))
 def exposure_window8(spark, d):
-    p = fx.presence(spark, d).select("region", "h", F.max("a").over(ft.by_region().rowsBetween(0, 8)).alias("m")).where(F.col("h").between(fx.TEST, fx.DECISION_LAST))
-    return routes.shares(fx.segments(spark, d)).join(p, "region").groupBy("corridor", "route", "h").agg(r(F.sum(F.col("w") * F.col("m"))).alias("share"))
+    p = presence(spark, d).select("region", "h", F.max("a").over(ft.by_region().rowsBetween(0, 8)).alias("m")).where(F.col("h").between(fx.TEST, fx.DECISION_LAST))
+    return routes.shares(segments(spark, d)).join(p, "region").groupBy("corridor", "route", "h").agg(r(F.sum(F.col("w") * F.col("m"))).alias("share"))
 
 
 def _expected(spark, d, which):
-    seg = fx.segments(spark, d)
-    return routes.expected(routes.weights(seg), which(fx.presence(spark, d)), routes.summary(seg))
+    seg = segments(spark, d)
+    return routes.expected(routes.weights(seg), which(presence(spark, d)), routes.summary(seg))
 
 
 @query(sql("SELECT corridor, route, h, round(e_km, 6) AS e_km FROM em", "em"))
@@ -376,7 +409,7 @@ _NOW = _AT + ", now AS (SELECT DISTINCT i.region, i.h FROM inst i JOIN rl l ON l
 
 
 def _current(spark, d):
-    seg = fx.segments(spark, d)
+    seg = segments(spark, d)
     now = timegrid.active_at(_instants(spark), fx.region_log(spark, d)).select("region", "h", "active")
     return routes.current(routes.shares(seg), now, routes.summary(seg), fx.decision_hours())
 
@@ -392,8 +425,8 @@ def current_km(spark, d):
 def _static(spark, d) -> DataFrame:
     """(corridor, pref): the least mean km under alert over the hours before the test. Hours meet
     routes as counts by (region, lead), so nothing is expanded by the hour."""
-    seg = fx.segments(spark, d)
-    p = fx.presence(spark, d).where("a = 1").withColumn("lead", F.explode(leads_0_18()))
+    seg = segments(spark, d)
+    p = presence(spark, d).where("a = 1").withColumn("lead", F.explode(leads_0_18()))
     n = p.where((F.col("h") - F.col("lead")).between(0, fx.PRE_LAST)).groupBy("region", "lead").agg(F.count("*").alias("n"))
     s = routes.weights(seg).join(n, ["region", "lead"], "left").groupBy("corridor", "route").agg((F.coalesce(F.sum(F.col("w") * F.col("n")), F.lit(0.0)) / (fx.PRE_LAST + 1)).alias("x"))
     s = s.join(routes.summary(seg), ["corridor", "route"]).withColumn("pre", F.round(F.col("x") * F.col("d_km"), 9))
@@ -419,7 +452,7 @@ def static_baseline(spark, d):
 
 @query(sql("SELECT rt.corridor, arg_min(rt.route, (round(t_h, 9), rt.route)) AS fastest, arg_min(rt.route, (round(d_km, 9), rt.route)) AS shortest, any_value(pref) AS static_pre, arg_min(rt.route, (m.km, rt.route)) AS hindsight, arg_min(rt.route, (m.share, rt.route)) AS by_share FROM rt JOIN st USING (corridor) JOIN (SELECT corridor, route, round(avg(km), 9) AS km, round(avg(share), 9) AS share FROM re GROUP BY 1, 2) m ON m.corridor = rt.corridor AND m.route = rt.route GROUP BY 1", "re st"))
 def fixed_choices(spark, d):
-    seg = fx.segments(spark, d)
+    seg = segments(spark, d)
     mean = _realized(spark, d).groupBy("corridor", "route").agg(F.round(F.avg("km"), 9).alias("km"), F.round(F.avg("share"), 9).alias("share"))
     t = routes.summary(seg).join(mean, ["corridor", "route"]).join(_static(spark, d), "corridor")
     pick = lambda c, n: F.min_by("route", F.struct(F.round(c, 9), "route")).alias(n)
@@ -491,7 +524,7 @@ def _mean_by(choice: DataFrame, real: DataFrame, by: list[str]) -> DataFrame:
 
 @query(sql("SELECT c.corridor, c.e, round(avg(re.km), 6) AS km FROM (SELECT em.corridor, em.h, v.e, arg_min(em.route, (round(em.e_km, 9), em.route)) AS route FROM em JOIN rt USING (corridor, route) JOIN (SELECT corridor, min(t_h) AS t0 FROM rt GROUP BY 1) m ON m.corridor = em.corridor, v WHERE rt.t_h <= t0 * (1 + v.e) + 1e-9 GROUP BY 1, 2, 3) c JOIN re ON re.corridor = c.corridor AND re.h = c.h AND re.route = c.route GROUP BY 1, 2", "em re", _values("v", EPS)))
 def epsilon_front(spark, d):
-    seg = fx.segments(spark, d)
+    seg = segments(spark, d)
     t = routes.summary(seg).withColumn("t0", F.min("t_h").over(Window.partitionBy("corridor"))).select("corridor", "route", "t_h", "t0", _each(EPS))
     fit = t.where(F.col("t_h") <= F.col("t0") * (1 + F.col("e")) + 1e-9).select("corridor", "route", "e")
     pick = routes.choose(_expected(spark, d, _mark).join(fit, ["corridor", "route"]), None, by=("corridor", "h", "e"))
@@ -501,7 +534,7 @@ def epsilon_front(spark, d):
 @query(sql("SELECT c.corridor, c.e, round(avg(re.km), 6) AS km FROM (SELECT em.corridor, em.h, v.e, arg_min(em.route, (round(em.e_km / ds + v.e * (rt.t_h / t0 - 1), 9), em.route)) AS route FROM em JOIN rt USING (corridor, route) JOIN (SELECT rt.corridor, min(rt.t_h) AS t0, any_value(s.d_km) AS ds FROM rt JOIN st USING (corridor) JOIN rt s ON s.corridor = st.corridor AND s.route = st.pref GROUP BY 1) m ON m.corridor = em.corridor, v GROUP BY 1, 2, 3) c JOIN re ON re.corridor = c.corridor AND re.h = c.h AND re.route = c.route GROUP BY 1, 2", "em re st", _values("v", LAMBDAS)))
 def lambda_front(spark, d):
     w = Window.partitionBy("corridor")
-    t = routes.summary(fx.segments(spark, d)).join(_static(spark, d), "corridor")
+    t = routes.summary(segments(spark, d)).join(_static(spark, d), "corridor")
     t = t.withColumn("t0", F.min("t_h").over(w)).withColumn("ds", F.max(F.when(F.col("route") == F.col("pref"), F.col("d_km"))).over(w)).select("corridor", "route", "t_h", "t0", "ds", _each(LAMBDAS))
     s = _expected(spark, d, _mark).join(t, ["corridor", "route"]).withColumn("score", F.col("e_km") / F.col("ds") + F.col("e") * (F.col("t_h") / F.col("t0") - 1))
     return _mean_by(routes.choose(s, None, "score", ("corridor", "h", "e")), _realized(spark, d), ["corridor", "e"])
@@ -512,13 +545,13 @@ _TRADE = "y AS (SELECT em.corridor, em.route, em.h, coalesce(em.e_km / nullif(su
 
 @query(sql("SELECT corridor, h, arg_min(route, (round(value, 9), route)) AS route FROM tv GROUP BY 1, 2", "em rt", _TRADE))
 def nonlinear_tradeoff(spark, d):
-    s = _expected(spark, d, _mark).join(routes.summary(fx.segments(spark, d)), ["corridor", "route"])
+    s = _expected(spark, d, _mark).join(routes.summary(segments(spark, d)), ["corridor", "route"])
     return routes.choose(routes.trade_off(s, 0.7), None, "value")
 
 
 @query(sql("SELECT g.e, tv.corridor, h, arg_min(tv.route, (round(value + g.e / (1 - yr), 9), tv.route)) AS route FROM tv JOIN (SELECT corridor, route, n / sum(n) OVER (PARTITION BY corridor)::DOUBLE AS yr FROM (SELECT corridor, route, count(*) AS n FROM sg GROUP BY 1, 2)) q ON q.corridor = tv.corridor AND q.route = tv.route, v g GROUP BY 1, 2, 3", "em rt", _TRADE + ", " + _values("v", (0.0, 0.2, 0.4))))
 def multi_criteria(spark, d):
-    seg = fx.segments(spark, d)
+    seg = segments(spark, d)
     n = seg.groupBy("corridor", "route").agg(F.count("*").alias("n"))
     n = n.withColumn("yr", F.col("n") / F.sum("n").over(Window.partitionBy("corridor")))
     n = n.select("corridor", "route", "yr", _each((0.0, 0.2, 0.4)))  # not in one step: the sum is over routes, not over values of e
@@ -534,7 +567,7 @@ def margin_switch(spark, d):
 
 @query()
 def hysteresis(spark, d):
-    s = _expected(spark, d, _mark).join(routes.summary(fx.segments(spark, d)).select("corridor", "route", "d_km"), ["corridor", "route"])
+    s = _expected(spark, d, _mark).join(routes.summary(segments(spark, d)).select("corridor", "route", "d_km"), ["corridor", "route"])
     return learn.hysteresis(s.select("corridor", "route", "h", F.round(F.col("e_km") / F.col("d_km"), 9).alias("e")), _static(spark, d), 0.01)
 
 
@@ -547,7 +580,7 @@ def rolling_static(spark, d):
 
 @query(sql("SELECT wt.corridor, wt.route, round(sum(CASE WHEN s.run = 1 THEN w END) * any_value(d_km) / 223, 6) AS ongoing_km, round(sum(CASE WHEN s.run = 0 AND s.a = 1 THEN w END) * any_value(d_km) / 223, 6) AS new_km FROM wt JOIN rt USING (corridor, route) JOIN (SELECT p.region, dh.h, l.lead, p.a, min(q.a) AS run FROM dh, range(19) l(lead) JOIN pr p ON p.h = dh.h + l.lead JOIN pr q ON q.region = p.region AND q.h BETWEEN dh.h - 1 AND dh.h + l.lead GROUP BY 1, 2, 3, 4) s ON s.region = wt.region AND s.lead = wt.lead GROUP BY 1, 2", "wt rt dh pr"))
 def onset_decomposition(spark, d):
-    seg, p = fx.segments(spark, d), fx.presence(spark, d)
+    seg, p = segments(spark, d), presence(spark, d)
     before = p.select("region", (F.col("h") + 1).alias("h"), F.col("a").alias("was"))
     cells = p.select("region", "a", F.col("h").alias("at")).withColumn("lead", F.explode(leads_0_18())).withColumn("h", F.col("at") - F.col("lead")).where(F.col("h").between(fx.TEST, fx.DECISION_LAST))
     sticky = F.min("a").over(Window.partitionBy("region", "h").orderBy("lead").rowsBetween(Window.unboundedPreceding, 0))
@@ -623,7 +656,7 @@ def strategy_matrix(spark, d):
 
 
 def _judged(spark, d, which=None) -> DataFrame:
-    p = fx.presence(spark, d)
+    p = presence(spark, d)
     y = p.select("region", F.col("h").alias("at"), F.col("a").alias("y"))
     f = (which or _mark)(p)
     return f.withColumn("at", F.col("h") + F.col("lead")).withColumn("p", F.round("p", 9)).join(y, ["region", "at"])
@@ -891,5 +924,5 @@ def recalibrate(spark, d):
 @query()
 def stacking(spark, d):
     j = _judged(spark, d).select("region", "h", "lead", F.col("p").alias("p1"), "y")
-    both = j.join(_clim(fx.presence(spark, d)).withColumnRenamed("p", "p2"), ["region", "h", "lead"])
+    both = j.join(_clim(presence(spark, d)).withColumnRenamed("p", "p2"), ["region", "h", "lead"])
     return learn.stack(both, days=7).select("region", "h", "lead", r("p"))

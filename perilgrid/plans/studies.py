@@ -179,8 +179,8 @@ def anchored_training(spark, d):
 
 @query(sql("SELECT corridor, h, arg_min(route, (round(e, 9) + CASE WHEN route = pref THEN 0 ELSE 1e-9 END, route)) AS route FROM (SELECT s.corridor, s.route, fm.h, sum(s.w * fm.p) * any_value(d_km) AS e FROM (SELECT corridor, route, region, km / sum(km) OVER (PARTITION BY corridor, route) AS w FROM sg) s JOIN fm ON fm.region = s.region AND fm.lead = 6 JOIN rt ON rt.corridor = s.corridor AND rt.route = s.route GROUP BY 1, 2, 3) JOIN st USING (corridor) GROUP BY 1, 2", "sg fm rt st"))
 def single_horizon_choice(spark, d):
-    seg = fx.segments(spark, d)
-    p6 = c._mark(fx.presence(spark, d)).where("lead = 6").select("region", "h", "p")
+    seg = c.segments(spark, d)
+    p6 = c._mark(c.presence(spark, d)).where("lead = 6").select("region", "h", "p")
     s = routes.shares(seg).join(p6, "region").groupBy("corridor", "route", "h").agg(F.sum(F.col("w") * F.col("p")).alias("e"))
     s = s.join(routes.summary(seg), ["corridor", "route"]).withColumn("e_km", F.col("e") * F.col("d_km"))
     return routes.choose(s, c._static(spark, d))
@@ -189,7 +189,7 @@ def single_horizon_choice(spark, d):
 @query(sql("SELECT corridor, h, arg_min(route, (round(share, 9) + CASE WHEN route = pref THEN 0 ELSE 1e-9 END, route)) AS route FROM (SELECT wt.corridor, wt.route, dh.h, sum(w * p.a) AS share FROM wt CROSS JOIN dh JOIN pr p ON p.region = wt.region AND p.h = dh.h + 3 GROUP BY 1, 2, 3) JOIN st USING (corridor) GROUP BY 1, 2", "wt dh pr st"))
 def look_ahead_choice(spark, d):
     """An ablation that sees three hours ahead: the share in regions active then."""
-    seg, p = fx.segments(spark, d), fx.presence(spark, d)
+    seg, p = c.segments(spark, d), c.presence(spark, d)
     ahead = p.select("region", (F.col("h") - 3).alias("h"), "a").where(F.col("h").between(fx.TEST, fx.DECISION_LAST))
     s = routes.weights(seg).join(ahead, "region").groupBy("corridor", "route", "h").agg(F.sum(F.col("w") * F.col("a")).alias("share"))
     return routes.choose(s, c._static(spark, d), "share")
@@ -206,7 +206,7 @@ def _inv(y: str, g: str) -> str:
 
 @query(sql("SELECT e, corridor, h, arg_min(route, (round(0.2 / (1 - yt) + " + _inv("ye", "(0.8 - e)") + " + " + " + ".join(_inv(f"y{i}", "(e / 5)") for i in range(1, 6)) + ", 9), route)) AS route FROM z, v GROUP BY 1, 2, 3", "em rt", _SEVEN + ", " + _values("v", (0.0, 0.2, 0.4))))
 def seven_criteria(spark, d):
-    seg = fx.segments(spark, d)
+    seg = c.segments(spark, d)
     region = F.col("region")
     static = seg.groupBy("corridor", "route").agg(F.count("*").alias("s1"), F.max("region").alias("s2"), F.sum(F.col("km") * (region % 3)).alias("s3"), F.count_if(region % 2 == 0).alias("s4"), F.min("region").alias("s5"))
     s = c._expected(spark, d, c._mark).join(routes.summary(seg), ["corridor", "route"]).join(static, ["corridor", "route"]).select("*", _each((0.0, 0.2, 0.4)))
@@ -222,7 +222,7 @@ def choice_churn(spark, d):
 
 @query(sql("SELECT corridor, route, pos, round(d_km, 6) AS d_km, round(t_h, 6) AS t_h, n, round(w, 6) AS w FROM rt JOIN (SELECT corridor, route, count(DISTINCT region) AS n FROM sg GROUP BY 1, 2) USING (corridor, route) JOIN (SELECT corridor, route, sum(w) AS w FROM wt GROUP BY 1, 2) USING (corridor, route)", "rt sg wt"))
 def corridor_assembly(spark, d):
-    a = routes.assembled(fx.segments(spark, d))
+    a = routes.assembled(c.segments(spark, d))
     total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x["w"])
     return a.select("corridor", "route", "pos", r("d_km"), r("t_h"), F.size("regions").cast("long").alias("n"), r(total).alias("w"))
 
@@ -230,7 +230,7 @@ def corridor_assembly(spark, d):
 @query(sql("SELECT corridor, k, arg_min(route, (pre, route)) AS pref, round(min(pre), 6) AS pre FROM (SELECT x.*, k FROM st0 x JOIN rt USING (corridor, route), (VALUES (1), (2), (3), (5)) v(k) WHERE pos < k) GROUP BY 1, 2", "rt st"))
 def prefix_static(spark, d):
     """The static choice among the first k candidates."""
-    seg, p = fx.segments(spark, d), fx.presence(spark, d)
+    seg, p = c.segments(spark, d), c.presence(spark, d)
     real = routes.realized(F.sequence(F.lit(0), F.lit(fx.PRE_LAST)).cast("array<long>"), routes.weights(seg), p, routes.summary(seg))
     pre = real.groupBy("corridor", "route").agg(F.round(F.avg("km"), 9).alias("pre")).join(routes.summary(seg).select("corridor", "route", "pos"), ["corridor", "route"])
     k = reshape.prefixes(pre, "pos", (1, 2, 3, 5))
@@ -310,14 +310,14 @@ def presence_rolled_up(spark, d):
 def district_control(spark, d):
     """The regions' forecast scored on their districts."""
     units = fx.alert_log(spark, d).select("region", F.col("district").alias("unit")).distinct()
-    j = c._mark(fx.presence(spark, d)).where("lead = 0").join(fx.presence(spark, d).withColumnRenamed("a", "y"), ["region", "h"])
+    j = c._mark(c.presence(spark, d)).where("lead = 0").join(c.presence(spark, d).withColumnRenamed("a", "y"), ["region", "h"])
     return units.join(j, "region").groupBy("unit").agg(F.count("*").alias("n"), r(stats.brier()).alias("brier"))
 
 
 @query(sql("SELECT st.corridor, rt.route, round(t_h, 6) AS t_h, round(d_km, 6) AS d_km, round(m.km, 6) AS test, round(m.share, 6) AS share FROM rt JOIN st USING (corridor) JOIN (SELECT corridor, route, avg(km) AS km, avg(share) AS share FROM re GROUP BY 1, 2) m ON m.corridor = rt.corridor AND m.route = rt.route", "re st"))
 def candidate_table(spark, d):
     real = c._realized(spark, d).groupBy("corridor", "route").agg(F.avg("km").alias("km"), F.avg("share").alias("share"))
-    return routes.summary(fx.segments(spark, d)).join(real, ["corridor", "route"]).select("corridor", "route", r("t_h"), r("d_km"), r("km").alias("test"), r("share"))
+    return routes.summary(c.segments(spark, d)).join(real, ["corridor", "route"]).select("corridor", "route", r("t_h"), r("d_km"), r("km").alias("test"), r("share"))
 
 
 _UNITED = "un AS (SELECT 'markov' AS model, region, h, lead, p FROM fm UNION ALL SELECT 'climatology', region, h, lead, p FROM fc UNION ALL SELECT 'blend', region, h, lead, (fm.p + fc.p) / 2 FROM fm JOIN fc USING (region, h, lead))"
@@ -326,7 +326,7 @@ _UNITED = "un AS (SELECT 'markov' AS model, region, h, lead, p FROM fm UNION ALL
 @query(sql("SELECT model, lead + 1 AS k, count(*) AS n, round(avg(p), 6) AS p FROM un GROUP BY 1, 2", "fm fc", _UNITED))
 def forecast_export(spark, d):
     """Forecasts in their common long form: the feature row's hour and the model's number."""
-    p = fx.presence(spark, d)
+    p = c.presence(spark, d)
     m, k = c._mark(p), c._clim(p)
     every = fx.union([f.withColumn("model", F.lit(n)) for n, f in (("markov", m), ("climatology", k), ("blend", fc.blend(m, k)))])
     out = every.select("model", "region", (F.col("h") - 1).alias("row_h"), (F.col("lead") + 1).alias("k"), "p")
