@@ -55,9 +55,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(_CRLF * 2)[2]
 
 
+#: Names that Spark's file systems have of their own, and those that Arrow knows the same stores by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI (or local path), and the path there."""
-    return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    """The file system of a URI (or local path), and the path there. Archives are plain files, so the
+    shared folder has to be in a store that Arrow reaches; any other is an error that names it."""
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.FileSystem.from_uri("file://" + "/" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def _pack(raw: bytes) -> bytes:
@@ -81,7 +89,7 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = FILE_BYTES)
     folder = scratch_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, root = fs.FileSystem.from_uri(folder)
+        disk, root = _place(folder)
         disk.create_dir(root, recursive=True)
         out, name, at = None, "", 0
         for b in batches:

@@ -264,6 +264,8 @@ def test_warc(spark):
     want = [(1, "same", 2), (2, "same", None), (3, None, 4), (4, None, None), (5, pages[4][2], None), (6, pages[5][2], None), (6, pages[5][2], None), (None, "same", 2)]
     assert sorted((tuple(r) for r in got), key=str) == sorted(((i, len((t or "").encode()), digest(t), "revisit" if ref else "response", ref) for i, t, ref in want), key=str)
     assert warc.round_trip(df.limit(0)).count() == 0
+    for uri in ("/tmp/x", "file:/tmp/x", "file:///tmp/x"):
+        assert warc._place(uri)[1] == "/tmp/x"
     assert warc.coalesce([(0, 10), (10, 5), (900, 10), (100_000, 5)], gap=1000, span=1000) == [(0, 910, [0, 1, 2]), (100_000, 100_005, [3])]
 
 
