@@ -361,3 +361,51 @@ def stream_hourly_presence(spark, d):
         q.stop()
     out = spark.read.schema("region long, hour timestamp, n long").parquet(f"{folder}/out")
     return out.select("region", F.floor((F.unix_micros("hour") - fx.EPOCH_US) / 3_600_000_000).alias("h"), "n")
+
+
+# --- the same evaluation on other inputs -------------------------------------------------------
+
+
+def on_inputs(segments: DataFrame, presence: DataFrame) -> None:
+    """From here on the query being built reads these for its segments and its panel."""
+    c._shared.get().update(segments=graph.checkpointed(segments), presence=graph.checkpointed(presence))
+
+
+def _evaluated(spark, d) -> DataFrame:
+    """(strategy, corridor, km, reduction, z): each strategy's mean km under alert, what it saves against
+    the static choice, and the rank statistic of its hourly differences."""
+    real, static = c._realized(spark, d), c._static(spark, d)
+    base = real.join(static, "corridor").where("route = pref").select("corridor", "h", F.col("km").alias("b"))
+    choices = {"markov": routes.choose(c._expected(spark, d, c._mark), static), "climatology": routes.choose(c._expected(spark, d, c._clim), static), "oracle": routes.choose(real, None, "km")}
+    every = fx.union([c._valued(x, real).withColumn("strategy", F.lit(n)).select("strategy", "corridor", "h", "km") for n, x in choices.items()]).join(base, ["corridor", "h"])
+    mean = every.groupBy("strategy", "corridor").agg(r(F.avg("km")).alias("km"), r(routes.improvement(F.col("b"), F.col("km"))).alias("reduction"))
+    signed = stats.wilcoxon(every.select("strategy", "corridor", F.round(F.col("b") - F.col("km"), 6).alias("d")), ["strategy", "corridor"])
+    return mean.join(signed.select("strategy", "corridor", r("z")), ["strategy", "corridor"], "left")
+
+
+_EVALUATED = sql(
+    """SELECT m.strategy, m.corridor, m.km, m.reduction, w.z FROM (SELECT strategy, corridor, round(avg(km), 6) AS km, round(CASE WHEN avg(b) > 0 THEN 100 * (avg(b) - avg(km)) / avg(b) END, 6) AS reduction FROM ev GROUP BY 1, 2) m LEFT JOIN
+  (SELECT strategy, corridor, round((w_plus - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 0), 6) AS z FROM (SELECT strategy, corridor, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0)::DOUBLE AS w_plus, sum((t * t - 1.0)) AS ties FROM (SELECT strategy, corridor, d, t, rank() OVER (PARTITION BY strategy, corridor ORDER BY abs(d)) + (t - 1) / 2.0 AS rk FROM (SELECT strategy, corridor, d, count(*) OVER (PARTITION BY strategy, corridor, abs(d)) AS t FROM (SELECT strategy, corridor, round(b - km, 6) AS d FROM ev) WHERE d <> 0)) GROUP BY 1, 2)) w USING (strategy, corridor)""",
+    "em ec re st",
+    c._BASE + ", " + c._ORACLE + ", " + ", ".join(f"{n} AS (SELECT s.corridor, s.h, arg_min(s.route, (round(s.e_km, 9) + CASE WHEN s.route = st.pref THEN 0 ELSE 1e-9 END, s.route)) AS route FROM {v} s JOIN st USING (corridor) GROUP BY 1, 2)" for n, v in (("cm", "em"), ("cc", "ec")))
+    + ", ev AS (SELECT x.strategy, x.corridor, x.h, re.km, bs.b FROM (SELECT 'markov' AS strategy, * FROM cm UNION ALL SELECT 'climatology', * FROM cc UNION ALL SELECT 'oracle', * FROM orc) x JOIN re USING (corridor, h, route) JOIN bs ON bs.corridor = x.corridor AND bs.h = x.h)",
+)
+_PANEL = fx._SQL["pr"]
+_DISTRICTS = _EVALUATED.replace(_PANEL, _PANEL.replace("pr AS", "pr0 AS", 1) + ", pr AS (SELECT region % 5 AS region, h, max(a) AS a FROM pr0 GROUP BY 1, 2)").replace("sg AS (SELECT *, exit_h", "sg AS (SELECT * REPLACE (region % 5 AS region), exit_h")
+
+
+@query(_DISTRICTS)
+def district_evaluation(spark, d):
+    """On the districts of another level, active if any region of theirs is."""
+    p = fx.presence(spark, d).groupBy((F.col("region") % 5).alias("region"), "h").agg(F.max("a").alias("a"))
+    on_inputs(fx.segments(spark, d).withColumn("region", F.col("region") % 5), p)
+    return _evaluated(spark, d)
+
+
+@query(_EVALUATED.replace("WHERE level = 'region')", "WHERE level = 'community')"))
+def second_hazard_evaluation(spark, d):
+    """On another hazard's log."""
+    log = fx.alert_log(spark, d).where("level = 'community'").select("region", "s_us", "f_us")
+    p = timegrid.fill(timegrid.grid(spark, fx.REGIONS, 0, fx.LAST), timegrid.expand(log, "truth", fx.EPOCH_US, 0, fx.LAST))
+    on_inputs(fx.segments(spark, d), p)
+    return _evaluated(spark, d)
