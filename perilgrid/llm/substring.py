@@ -208,28 +208,26 @@ class SubstringIndex:
         known = batch.where("doc_id is not null")
         mine, mine_path = save(runs(known), "runs")
         first = F.struct("doc_id", "rid", "at", "n")
-        classes = mine.groupBy("lead", "content").agg(F.min(first).alias("first"))
-        old = [self._read(p) for p in self.tables]
-        for i, t in enumerate(old):  # a merge join with each table
-            hit = t.select("lead", "content", F.col("first.doc_id").alias(f"old{i}"))
-            classes = classes.join(hit.hint("merge"), ["lead", "content"], "left")
-        seen = [F.col(f"old{i}") for i in range(len(old))]
-        classes = classes.withColumn("least", F.least("first.doc_id", *seen) if seen else F.col("first.doc_id"))
-        classes = classes.withColumn("new", F.coalesce(*seen).isNull() if seen else F.lit(True)).select("lead", "content", "first", "least", "new")
+        fresh, fresh_path = save(mine.groupBy("lead", "content").agg(F.min(first).alias("first")), "fresh")
+        # one merge join with each table, for the classes that have a leader of this batch
+        leaders = fresh.select("lead").distinct()
+        near = fresh.limit(0)
+        for t in self.tables:
+            near = near.unionByName(self._read(t).join(leaders.hint("merge"), "lead", "left_semi"))
+        near, near_path = save(near, "near")
+        old = near.select("lead", "content", F.col("first.doc_id").alias("old"))
+        classes = fresh.join(old, ["lead", "content"], "left").withColumn("least", F.least("first.doc_id", "old")).withColumn("new", F.col("old").isNull()).drop("old")
         classes, classes_path = save(classes, "classes")
         whole = mine.join(classes.select("lead", "content", "least"), ["lead", "content"]).where("least < doc_id").select("doc_id", "rid", "at", "n")
-        self.tables.append(self._write(classes.where("new").select("lead", "content", "first")))
-        every = [self._read(p) for p in self.tables]
-        summed = [t.groupBy("lead").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi")).withColumn("fresh", F.lit(i == len(every) - 1)) for i, t in enumerate(every)]
-        leads = summed[0]
-        for t in summed[1:]:
-            leads = leads.unionByName(t)
-        leads = leads.groupBy("lead").agg(F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("fresh").alias("fresh")).where("k > 1 and lo < hi and fresh").select("lead")
+        new = classes.where("new").select("lead", "content", "first")
+        self.tables.append(self._write(new))
+        both = near.select("lead", "first.doc_id", F.lit(False).alias("fresh")).unionByName(new.select("lead", "first.doc_id", F.lit(True).alias("fresh")))
+        leads = both.groupBy("lead").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("fresh").alias("fresh")).where("k > 1 and lo < hi and fresh")
+        leads, leads_path = save(leads.select("lead"), "leaders")
         # of a class of an earlier batch one place tells its windows; a new one loses words at every place in its first document
-        fresh = every[-1].join(leads, "lead", "left_semi").select("lead", "content", "first.doc_id")
-        places = mine.join(fresh, ["lead", "content", "doc_id"], "left_semi").select("doc_id", "rid", "at", "n")
-        for t in every[:-1]:
-            places = places.unionByName(t.join(leads, "lead", "left_semi").select("first.doc_id", "first.rid", "first.at", "first.n"))
+        opening = new.join(leads, "lead", "left_semi").select("lead", "content", "first.doc_id")
+        places = mine.join(opening, ["lead", "content", "doc_id"], "left_semi").select("doc_id", "rid", "at", "n")
+        places = places.unionByName(near.join(leads, "lead", "left_semi").select("first.doc_id", "first.rid", "first.at", "first.n"))
         spans = F.collect_list(F.struct("at", "n"))
         opened = places.groupBy("doc_id", "rid").agg(spans.alias("open"))
         windows, windows_path = save(_windows(corpus.join(opened, ["doc_id", "rid"]).select("doc_id", "rid", "text", "open")), "windows")
@@ -238,7 +236,7 @@ class SubstringIndex:
         lowest, lowest_path = save(lowest, "lowest")
         part = windows.join(lowest, "w").where("least < doc_id").select("doc_id", "rid", "at", F.lit(1).alias("n"))
         found, found_path = save(whole.unionByName(part).groupBy("doc_id", "rid").agg(spans.alias("spans")), "spans")
-        drop(self.spark, mine_path, classes_path, windows_path, lowest_path)
+        drop(self.spark, mine_path, fresh_path, near_path, classes_path, leads_path, windows_path, lowest_path)
         return found
 
     def compact(self) -> None:
