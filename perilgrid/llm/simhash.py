@@ -191,7 +191,7 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
             arrays = [b.column("key"), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "same", "fp", "parts"])
 
-    return rows.select("key", "text").mapInArrow(tidied(run), "key bigint, same binary, fp bigint, parts array<bigint>")
+    return rows.select("key", "text").mapInArrow(tidied(run), "key binary, same binary, fp bigint, parts array<bigint>")
 
 
 def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -230,8 +230,9 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     result. Other columns stay."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    key = F.xxhash64("doc_id", "source", text, F.col("doc_id").isNull(), F.col("source").isNull())
-    rows = docs.withColumn("_key", key)
+    known = ("doc_id", "source", text, F.col("doc_id").isNull(), F.col("source").isNull())
+    half = lambda k: F.lpad(F.hex(F.xxhash64(F.lit(k), *known)), 16, "0")
+    rows = docs.withColumn("_key", F.unhex(F.concat(half(0), half(1))))  # 128 bits, for no two of very many rows may meet
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"))
     sketched, sketch_path = save(_sketches(rows.select(F.col("_key").alias("key"), text.alias("text")), shingle).distinct(), "sketches")
     ids = rows.select(first.alias("row"), "_key").distinct()
