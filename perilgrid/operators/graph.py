@@ -218,13 +218,13 @@ def many_to_many(requests: DataFrame, arc: DataFrame, with_path: bool = False) -
                 targets = [t for t in targets if t in g.place]
                 if s not in g.place or not targets:
                     continue
-                if with_path or len(targets) == 1:
+                if with_path:
                     for t in targets:
                         found = paths.shortest(g, g.place[s], g.place[t])
                         if found:
                             rows.append((s, t, found[0], g.named(found[1])))
                 else:
-                    d = paths.distances(g, g.place[s])
+                    d = paths.distances(g, g.place[s], until=[g.place[t] for t in targets])
                     rows += [(s, t, d[g.place[t]], None) for t in targets if d[g.place[t]] < np.inf]
             out = pd.DataFrame(rows, columns=["s", "t", "cost", "path"])
             yield out if with_path else out.drop(columns="path")

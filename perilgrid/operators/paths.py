@@ -49,9 +49,11 @@ class Graph:
         return {(min(x, y), max(x, y)): self.length[self.arc[x, y]] for x, y in zip(path, path[1:])}
 
 
-def distances(g: Graph, s: int, backward: bool = False, w: list[float] | None = None) -> list[float]:
-    """The cost from s to every node, or from every node to s."""
-    w = w or g.w
+def distances(g: Graph, s: int, backward: bool = False, w: list[float] | None = None, until: Collection[int] = ()) -> list[float]:
+    """The cost from s to every node, or from every node to s; of ``until`` given, right for these only,
+    for the search ends with the last of them."""
+    w, left = w or g.w, set(until)
+    ending = bool(left)
     dist = [INF] * g.n
     dist[s] = 0.0
     heap, pop, push = [(0.0, s)], heapq.heappop, heapq.heappush
@@ -59,6 +61,10 @@ def distances(g: Graph, s: int, backward: bool = False, w: list[float] | None =
         d, x = pop(heap)
         if d > dist[x]:
             continue
+        if ending and x in left:
+            left.remove(x)
+            if not left:
+                break
         for k in g.back[g.back_start[x] : g.back_start[x + 1]] if backward else range(g.start[x], g.start[x + 1]):
             y, e = g.src[k] if backward else g.dst[k], d + w[k]
             if e < dist[y]:

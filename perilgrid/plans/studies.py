@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import functions
 from ..operators import features as ft
 from ..operators import forecast as fc
 from ..operators import graph, learn, reshape, routes, stats, timegrid
@@ -409,3 +410,26 @@ def second_hazard_evaluation(spark, d):
     p = timegrid.fill(timegrid.grid(spark, fx.REGIONS, 0, fx.LAST), timegrid.expand(log, "truth", fx.EPOCH_US, 0, fx.LAST))
     on_inputs(fx.segments(spark, d), p)
     return _evaluated(spark, d)
+
+
+# --- scalar functions --------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, round(ln(p / (1 - p)), 6) AS z, round(greatest(least(ln(q / (1 - q)), 9), -9), 6) AS z9, round(1 / (1 + exp(-c_acctbal / 1000)), 9) AS s, CASE WHEN c_nationkey = 0 THEN 0 ELSE round(c_acctbal / c_nationkey, 6) END AS ratio,
+  CASE WHEN c_acctbal < 0 THEN -1 WHEN c_acctbal < 1 THEN 0 WHEN c_acctbal < 300 THEN 1 WHEN c_acctbal < 5000 THEN 2 ELSE 3 END AS bin, least(c_custkey * 977 // 3600, 18) AS lead,
+  round(radians(22 + c_nationkey) * 6371000 * cos(radians(48.5)), 3) AS x, round(radians(45 + c_nationkey / 7.0) * 6371000, 3) AS y
+  FROM (SELECT *, greatest(least(abs(c_acctbal) / 10000, 1 - 1e-4), 1e-4) AS p, greatest(least(abs(c_acctbal) / 10000, 1 - 1e-6), 1e-6) AS q FROM customer)""")
+def scalar_functions(spark, d):
+    x, n = F.col("c_acctbal"), F.col("c_nationkey")
+    p = F.abs(x) / 10000
+    east, north = functions.project(22 + n, 45 + n / 7.0)
+    return fx.table(spark, d, "customer").select(
+        "c_custkey", r(functions.logit(p)).alias("z"), r(functions.logit(p, 1e-6, 9.0)).alias("z9"), r(functions.sigmoid(x / 1000), 9).alias("s"), r(functions.safe_ratio(x, n.cast("double"))).alias("ratio"),
+        functions.bin_of(x, [0.0, 1.0, 300.0, 5000.0]).alias("bin"), functions.lead_of(F.col("c_custkey") * 977).alias("lead"), r(east, 3).alias("x"), r(north, 3).alias("y"),
+    )
+
+
+@query("SELECT event_id, date_trunc('hour', ts) AS lo, date_trunc('hour', ts + INTERVAL 3599999999 MICROSECONDS) AS hi FROM events")
+def hour_edges(spark, d):
+    t = F.col("ts")
+    return fx.table(spark, d, "events").select("event_id", functions.floor_hour(t).cast("timestamp_ntz").alias("lo"), functions.ceil_hour(t).cast("timestamp_ntz").alias("hi"))
