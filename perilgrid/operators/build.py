@@ -67,7 +67,7 @@ def point_times(points: DataFrame, steps: DataFrame) -> DataFrame:
     to = lambda c: F.lead(c).over(w)
     seg = points.select("route", "i", "lon", "lat", to("lon").alias("lon2"), to("lat").alias("lat2")).where("lon2 is not null")
     seg = seg.withColumn("metres", geo.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")))
-    part = steps.where(F.col("last") > F.col("first")).withColumn("step", F.monotonically_increasing_id())
+    part = steps.where(F.col("last") > F.col("first")).withColumn("step", F.row_number().over(Window.partitionBy("route").orderBy("first", "last", "duration_s")))
     part = part.select("route", "step", "duration_s", F.explode(F.sequence("first", F.col("last") - 1)).alias("i"))
     d = seg.join(part, ["route", "i"], "left")
     by = Window.partitionBy("route", "step")
@@ -136,6 +136,33 @@ def scaled(edges: DataFrame, factor: DataFrame) -> DataFrame:
     return e.select("u", "v", "metres", (F.col("seconds") * F.col("k")).alias("seconds"), longer.alias("profile"))
 
 
+def crossings(lines: DataFrame, size: float) -> DataFrame:
+    """(line, other, at): where straight lines(line, x1, y1, x2, y2) cross each other between their ends, as
+    the share of line's length before the crossing; lines meet in the cells of their boxes."""
+    span = lambda a, b: F.sequence(geo.cell(F.least(a, b), size), geo.cell(F.greatest(a, b), size))
+    p = lines.select("line", "x1", "y1", "x2", "y2")
+    dealt = p.select("*", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx")).select("*", F.explode(span(F.col("y1"), F.col("y2"))).alias("cy"))
+    other = dealt.select("cx", "cy", F.col("line").alias("other"), *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
+    pairs = dealt.join(other, ["cx", "cy"]).where("line <> other").drop("cx", "cy").distinct()
+    dx, dy, ox, oy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
+    gx, gy, cross = F.col("ox1") - F.col("x1"), F.col("oy1") - F.col("y1"), dx * oy - dy * ox
+    found = pairs.withColumn("at", F.try_divide(gx * oy - gy * ox, cross)).withColumn("there", F.try_divide(gx * dy - gy * dx, cross))
+    return found.where("at > 0 and at < 1 and there > 0 and there < 1").select("line", "other", "at")
+
+
+def noded(lines: DataFrame, size: float) -> DataFrame:
+    """lines(line, x1, y1, x2, y2, ...) cut at their crossings: (line, part, x1, y1, x2, y2, ...), the parts
+    numbered from the line's start."""
+    cuts = crossings(lines, size).groupBy("line").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
+    ends = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    d = lines.join(cuts, "line", "left").withColumn("ends", ends)
+    pieces = F.arrays_zip(F.slice("ends", 1, F.size("ends") - 1).alias("a"), F.slice("ends", 2, F.size("ends") - 1).alias("b"))
+    rest = [c for c in lines.columns if c not in ("line", "x1", "y1", "x2", "y2")]
+    d = d.select("line", "x1", "y1", "x2", "y2", *rest, F.posexplode(pieces).alias("part", "p"))
+    on = lambda lo, hi, at: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(at)
+    return d.select("line", "part", on("x1", "x2", "p.a").alias("x1"), on("y1", "y2", "p.a").alias("y1"), on("x1", "x2", "p.b").alias("x2"), on("y1", "y2", "p.b").alias("y2"), *rest)
+
+
 def snapped(lines: DataFrame, radius: float = 500.0) -> DataFrame:
     """(line, u, v): ends of lines(line, x1, y1, x2, y2) that lie within radius of one another, over any
     number of ends, are one node, named after its smallest end (2 line for a start, 2 line + 1 for an

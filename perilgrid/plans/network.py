@@ -139,6 +139,13 @@ def snapped_ends(spark, d):
     return build.snapped(_lines(spark, d), 1.0).select("line", "u", "v")
 
 
+@query(sql("SELECT line, 1 + count(DISTINCT cut) AS parts, any_value(m) AS metres FROM (SELECT a.line, round(sqrt((a.x2 - a.x1) ** 2 + (a.y2 - a.y1) ** 2), 6) AS m, CASE WHEN t > 0 AND t < 1 AND u > 0 AND u < 1 THEN t END AS cut FROM (SELECT a.line, a.x1, a.y1, a.x2, a.y2, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0)::DOUBLE AS t, ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0)::DOUBLE AS u FROM lf a JOIN lf b ON a.line <> b.line) a) GROUP BY 1", "", _LINES + ", lf AS (SELECT line, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM ln)"))
+def noded_lines(spark, d):
+    p = build.noded(_lines(spark, d), 10.0)
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    return p.groupBy("line").agg(F.count("*").alias("parts"), r(F.sum(length)).alias("metres"))
+
+
 @query(sql("SELECT line, count(*) AS pieces, round(any_value(m), 6) AS metres FROM (SELECT line, j, m, n, region, lag(region) OVER (PARTITION BY line ORDER BY j) AS was FROM (SELECT line, j, m, n, arg_min(label, (round(sqrt((x1 + (x2 - x1) * (j + 0.5) / n - rx) ** 2 + (y1 + (y2 - y1) * (j + 0.5) / n - ry) ** 2), 6), label)) AS region FROM (SELECT *, greatest(ceil(m / 5), 1)::BIGINT AS n, unnest(range(greatest(ceil(m / 5), 1)::BIGINT)) AS j FROM (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS m FROM ln)) l, (SELECT range AS label, 10 + range % 5 * 20 AS rx, 10 + range // 5 * 20 AS ry FROM range(25)) g GROUP BY ALL)) WHERE was IS DISTINCT FROM region GROUP BY 1", "", _LINES))
 def line_profiles(spark, d):
     regions = spark.range(25).select(F.col("id").alias("label"), (10.0 + F.col("id") % 5 * 20).alias("x"), (10.0 + F.floor(F.col("id") / 5) * 20).alias("y"))
