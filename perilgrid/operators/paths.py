@@ -33,6 +33,9 @@ class Graph:
         back = np.argsort(b, kind="stable")
         self.back_start = np.searchsorted(b[back], np.arange(self.n + 1)).tolist()
         self.back = back.tolist()
+        #: Of each node the neighbours that its arcs lead to and come from, with the weights.
+        self.out = [list(zip(self.dst[i:j], self.w[i:j])) for i, j in zip(self.start, self.start[1:])]
+        self.into = [[(self.src[k], self.w[k]) for k in self.back[i:j]] for i, j in zip(self.back_start, self.back_start[1:])]
 
     def named(self, path: Path) -> list[int]:
         ids = self.ids
@@ -49,10 +52,10 @@ class Graph:
         return {(min(x, y), max(x, y)): self.length[self.arc[x, y]] for x, y in zip(path, path[1:])}
 
 
-def distances(g: Graph, s: int, backward: bool = False, w: list[float] | None = None, until: Collection[int] = ()) -> list[float]:
+def distances(g: Graph, s: int, backward: bool = False, until: Collection[int] = ()) -> list[float]:
     """The cost from s to every node, or from every node to s; of ``until`` given, right for these only,
     for the search ends with the last of them."""
-    w, left = w or g.w, set(until)
+    near, left = g.into if backward else g.out, set(until)
     ending = bool(left)
     dist = [INF] * g.n
     dist[s] = 0.0
@@ -65,8 +68,8 @@ def distances(g: Graph, s: int, backward: bool = False, w: list[float] | None =
             left.remove(x)
             if not left:
                 break
-        for k in g.back[g.back_start[x] : g.back_start[x + 1]] if backward else range(g.start[x], g.start[x + 1]):
-            y, e = g.src[k] if backward else g.dst[k], d + w[k]
+        for y, w in near[x]:
+            e = d + w
             if e < dist[y]:
                 dist[y] = e
                 push(heap, (e, y))
