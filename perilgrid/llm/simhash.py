@@ -8,7 +8,8 @@ each is dealt to the cell of each half and to the cells one step up from it. Ham
 then verified exactly within each cell. A cell emits a spanning forest of its links, never all pairs.
 
 For similar shingle sets, whose fingerprints differ in too many bits for a grid, texts are met by the
-fingerprints of their sections as well, and every pair that meets is compared exactly.
+fingerprints of their sections as well, and every pair that meets is compared exactly. What this leaves
+apart is met by the rarest shingles, of which similar sets have to share one; so no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -159,6 +160,11 @@ LEADS = 3
 #: Differing bits of two texts' fingerprints up to which they are compared. At a similarity of 0.8 the
 #: bits that differ number 9.7 on average with a deviation of 2.9.
 WIDE = 20
+#: One text in so many is read for frequent shingles, and how many of them are known at most. They give the
+#: order of the shingles only: any order finds all pairs, one by rarity compares fewer.
+SAMPLE, FREQUENT = 16, 100_000
+#: Pairs that a task looks at together.
+_PAIRS = 1 << 19
 
 
 def sections(hashes: np.ndarray) -> list[int]:
@@ -176,22 +182,60 @@ def sections(hashes: np.ndarray) -> list[int]:
     return [majority(hashes[a : a + n]) for a, n in zip(start[chosen].tolist(), size[chosen].tolist())]
 
 
-def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """(key, same, fp, parts) of rows(key, text): a digest of the text's words in lower case, its
-    fingerprint, and those of its sections."""
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and numbers of the shingles that several of a sample of rows(key, text) have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fps, parts = [], [], []
+            for t in utf8(b.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, shingle)).view(np.int64))], ["h"])
+
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    n = some.mapInArrow(tidied(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    t = n.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rarest(hashes: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of distinct hashes, ascending: the first in an order that is the same for all texts, frequent ones
+    last, as many as one has to share with any set whose Jaccard similarity is least or more."""
+    n = len(hashes)
+    many = n - _at_least(least * n) + 1 if n else 0
+    known, times = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[at] == hashes, times[at], 0)
+        hashes = hashes[np.argsort(often, kind="stable")]
+    return hashes[:many]
+
+
+def _at_least(x):
+    """The least whole number that isn't below x, but for rounding."""
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def _sketches(rows: DataFrame, shingle: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, same, fp, parts, size, rare) of rows(key, text): a digest of the text's words in lower case, its
+    fingerprint, those of its sections, the number of its distinct shingles and the rarest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, fps, parts, sizes, rare = [], [], [], [], []
             for t in utf8(b.column("text")):
                 h = shingles(t, shingle)
                 same.append(hashlib.blake2b(b" ".join((t or b"").lower().split()), digest_size=16).digest())
                 fps.append(majority(h))
                 parts.append(np.unique(np.array(sections(h), np.uint64)).view(np.int64))
-            arrays = [b.column("key"), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "same", "fp", "parts"])
+                h = np.unique(h)
+                sizes.append(len(h))
+                rare.append(rarest(h, least, frequent).view(np.int64))
+            longs = pa.list_(pa.int64())
+            arrays = [b.column("key"), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, longs), pa.array(sizes, pa.int32()), pa.array(rare, longs)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "same", "fp", "parts", "size", "rare"])
 
-    return rows.select("key", "text").mapInArrow(tidied(run), "key binary, same binary, fp bigint, parts array<bigint>")
+    return rows.select("key", "text").mapInArrow(tidied(run), "key binary, same binary, fp bigint, parts array<bigint>, size int, rare array<bigint>")
 
 
 def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -208,7 +252,36 @@ def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
             own = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column("a").take(own), b.column("b").take(own)], ["a", "b"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(tidied(run), "a binary, b binary")
+    return pairs.select("a", "b", "x", "y").mapInArrow(tidied(run), "a bigint, b bigint")
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, n, need) of rows (h, size, id, root), sorted by h, size and id: n of the rarest hashes are
+    shared by ids of different roots, need of which sets of a similarity of least or more share. All that
+    they share in the longer rest of the two sets isn't enough without them."""
+    for t in sorted_groups(batches, "h"):
+        h, size, ids, root = (t.column(c).to_numpy() for c in ("h", "size", "id", "root"))
+        start = np.r_[0, np.flatnonzero(np.diff(h)) + 1]
+        n = np.diff(np.r_[start, len(h)])
+        own = np.flatnonzero(np.repeat(np.minimum.reduceat(root, start) < np.maximum.reduceat(root, start), n))
+        follow = np.repeat(start + n, n)[own] - own - 1
+        rest = _at_least(least * size) - 1
+        upto = np.cumsum(follow)
+        for lo in range(0, int(upto[-1]) if len(upto) else 0, _PAIRS):
+            hi = min(lo + _PAIRS, int(upto[-1]))
+            p, q = np.searchsorted(upto, lo, "right"), np.searchsorted(upto, hi, "left") + 1
+            before = upto[p:q] - follow[p:q]
+            count = np.minimum(upto[p:q], hi) - np.maximum(before, lo)
+            i = np.repeat(own[p:q], count)
+            j = np.arange(lo, hi) + np.repeat(own[p:q] + 1 - before, count)
+            can = (root[i] != root[j]) & (size[i] > rest[j])
+            i, j = i[can], j[can]
+            if len(i):
+                need = _at_least(least / (1 + least) * (size[i].astype(np.int64) + size[j])) - np.maximum(rest[i], rest[j])
+                pairs = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), need], 1)
+                found, times = np.unique(pairs, axis=0, return_counts=True)
+                a, b, need = (pa.array(np.ascontiguousarray(found[:, k])) for k in range(3))
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(times.astype(np.int64)), need], ["a", "b", "n", "need"])
 
 
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -218,52 +291,76 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Two texts are near-duplicates if their sets of ``shingle``-word shingles, in lower case, have a
     Jaccard similarity of ``similarity`` or more; a group is all that such pairs connect. Every pair
-    that is linked has been compared exactly. What is compared:
+    that is linked has been compared exactly, and no pair is lost. What is compared at first:
 
-    * texts whose fingerprints differ in at most 3 bits, by the grid join of this module;
+    * texts whose fingerprints differ in at most 3 bits, along the forests of this module's grid join;
+    * texts of one fingerprint, with the first of them;
     * texts with a set of section fingerprints in common, each with LEADS of those that have that set,
-      if their own fingerprints differ in at most WIDE bits. A text of SECTIONS sections has 15 sets,
-      so a passage that many texts share can't hide the rest of them, and no group is paired off.
+      if their own fingerprints differ in at most WIDE bits. A text of SECTIONS sections has 15 sets.
+
+    These join nearly all. What they leave out is found by an exact way: in one order of all shingles,
+    sets of that similarity share some of their first (``rarest``), so all texts of different groups
+    that share as many as they have to, by their sizes, are compared too. That costs the square of the
+    groups that share a shingle which is rare in each of their texts.
 
-    Near-duplicates without an unchanged section in common can be missed; equal texts never are.
     Null texts are as empty ones, and all texts without words are equal. An empty table gives an empty
     result. Other columns stay."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is above 0 and at most 1")
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     known = ("doc_id", "source", text, F.col("doc_id").isNull(), F.col("source").isNull())
     half = lambda k: F.lpad(F.hex(F.xxhash64(F.lit(k), *known)), 16, "0")
     rows = docs.withColumn("_key", F.unhex(F.concat(half(0), half(1))))  # 128 bits, for no two of very many rows may meet
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"))
-    sketched, sketch_path = save(_sketches(rows.select(F.col("_key").alias("key"), text.alias("text")), shingle).distinct(), "sketches")
+    plain = rows.select(F.col("_key").alias("key"), text.alias("text"))
+    sketched, sketch_path = save(_sketches(plain, shingle, similarity, _frequent(plain, shingle)), "sketches")
     ids = rows.select(first.alias("row"), "_key").distinct()
-    classes, classes_path = save(
-        ids.join(sketched, ids["_key"] == sketched["key"]).groupBy("same").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("parts").alias("parts")), "texts"
+    best = ids.join(sketched.select("key", "same").distinct(), ids["_key"] == F.col("key")).groupBy("same").agg(F.min("row").alias("row"))
+    one = sketched.withColumnRenamed("same", "_same").dropDuplicates(["key"])
+    classes, _ = save(
+        best.join(one, (F.col("row.key") == one["key"]) & (F.col("same") == one["_same"])).select(F.monotonically_increasing_id().alias("id"), "row", "fp", "parts", "size", "rare"), "texts"
     )
     # sets of sections, each with its first text
     one = F.transform("parts", lambda x: F.array(x))
     sets = F.aggregate("parts", F.array(F.array().cast("array<bigint>")), lambda done, x: F.concat(done, F.transform(done, lambda y: F.concat(y, F.array(x)))))
     sets = F.when(F.size("parts") > 0, F.slice(sets, 2, F.size(sets) - 1)).otherwise(one)
-    of = classes.select("same", "fp", F.explode(F.transform(sets, lambda x: F.xxhash64(x))).alias("set"))
-    leads = F.array_distinct(F.array(*(F.min_by(F.struct("same", "fp"), F.xxhash64("same", F.lit(k))) for k in range(LEADS))))
+    of = classes.select("id", "fp", F.explode(F.transform(sets, lambda x: F.xxhash64(x))).alias("set"))
+    leads = F.array_distinct(F.array(*(F.min_by(F.struct("id", "fp"), F.xxhash64("id", F.lit(k))) for k in range(LEADS))))
     least, least_path = save(of.groupBy("set").agg(leads.alias("leads"), F.count("*").alias("n")).where("n > 1").select("set", F.explode("leads").alias("lead")), "sets")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= WIDE
-    shared = of.join(least, "set").where((F.col("same") != F.col("lead.same")) & near).select(F.col("lead.same").alias("a"), F.col("same").alias("b"))
+    shared = of.join(least, "set").where((F.col("id") != F.col("lead.id")) & near).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
     # close fingerprints, each by its first text, and texts of one fingerprint
-    by_fp, fp_path = save(classes.groupBy("fp").agg(F.min("same").alias("same")), "fingerprints")
+    by_fp, fp_path = save(classes.groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
     ends = links(by_fp.select("fp"))
     for c in ("a", "b"):
-        ends = ends.join(by_fp.select(F.col("fp").alias(c), F.col("same").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
-    alike = classes.select("fp", F.col("same").alias("b")).join(by_fp.withColumnRenamed("same", "a"), "fp").where("a <> b").select("a", "b")
-    pairs, pairs_path = save(shared.unionByName(ends).unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # texts of those pairs only, then the pairs with both of them
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("same", F.col("row.key").alias("_key"))
-    texts, texts_path = save(rows.select("_key", text.alias("t")).join(wanted, "_key").select("same", "t").dropDuplicates(["same"]), "compared")
-    release(spark)
-    sides = pairs.join(texts.select(F.col("same").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("same").alias("b"), F.col("t").alias("y")), "b")
-    linked, linked_path = save(_similar(sides, shingle, similarity), "links")
-    drop(spark, sketch_path, least_path, fp_path, pairs_path, texts_path)
-    roots = connected_components(linked).withColumnRenamed("node", "same")
-    named = classes.select("same", "row").join(roots, "same", "left").select(F.coalesce("root", "same").alias("root"), "row")
+        ends = ends.join(by_fp.select(F.col("fp").alias(c), F.col("id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    alike = classes.select("fp", F.col("id").alias("b")).join(by_fp.withColumnRenamed("id", "a"), "fp").where("a <> b").select("a", "b")
+
+    def linked(met: DataFrame) -> DataFrame:
+        """Of pairs that meet, those that are similar."""
+        pairs, pairs_path = save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        # texts of those pairs only, then the pairs with both of them
+        wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", F.col("row.key").alias("_key"))
+        texts, texts_path = save(rows.select("_key", text.alias("t")).join(wanted, "_key").select("id", "t").dropDuplicates(["id"]), "compared")
+        release(spark)
+        sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+        found, _ = save(_similar(sides, shingle, similarity), "links")
+        drop(spark, pairs_path, texts_path)
+        return found
+
+    roots = connected_components(linked(shared.unionByName(ends).unionByName(alike))).withColumnRenamed("node", "id")
+    drop(spark, sketch_path, least_path, fp_path)
+    named, _ = save(classes.select("id", "row", "size", "rare").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "groups")
+    # the rest, by the rarest shingles
+    sharing = named.select("size", "id", "root", F.explode("rare").alias("h")).select("h", "size", "id", "root")
+    met = sharing.repartition("h").sortWithinPartitions("h", "size", "id").mapInArrow(lambda batches: _sharing(batches, similarity), "a bigint, b bigint, n bigint, need bigint")
+    met = met.groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need")
+    rest = linked(met)
+    for c in ("a", "b"):
+        rest = rest.join(named.select(F.col("id").alias(c), F.col("root").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    joined = connected_components(rest.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    named = named.select("root", "row").join(joined, "root", "left").select(F.coalesce("whole", "root").alias("root"), "row")
     keep = named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("_key"))
     out = rows.join(keep, "_key", "left_semi")
     count = rows.agg(F.count("*").alias("n"), F.count_distinct("_key").alias("d")).first()

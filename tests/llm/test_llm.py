@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -117,6 +118,37 @@ def test_representatives_of_similar_texts(spark):
     assert {x.name for x in simhash.representatives(docs(spark, rows)).schema} == {x.split()[0] for x in DOC.split(", ")}
 
 
+def test_representatives_lose_no_similar_pair(spark, monkeypatch):
+    rnd = random.Random(23)
+    line = words(rnd, 40, 5000)  # frequent shingles
+    rows = []
+    for _ in range(60):
+        base = words(rnd, rnd.randrange(20, 300), 5000) + line * rnd.randrange(2)
+        for _ in range(4):
+            w = list(base)
+            for k in range(rnd.randrange(80), len(w), 75 + rnd.randrange(50)):  # most similarities are near the limit
+                w[k] = f"new{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    low, linked = brute_groups(rows)
+    want = {i for i in low if low[i] == i}
+    assert 30 < len(rows) - len(want) < 170
+    assert {r["doc_id"] for r in simhash.representatives(docs(spark, rows)).collect()} == want
+    # without any meeting by fingerprints, with frequent shingles, and in small slices
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    assert len(simhash._frequent(docs(spark, rows).selectExpr("cast(doc_id as string) as key", "text"), 5)[0]) >= 36
+    known = simhash._frequent(docs(spark, rows).selectExpr("cast(doc_id as string) as key", "text"), 5)
+    sets = [np.unique(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    held = sorted((int(h), len(x), i) for i, x in enumerate(sets) for h in simhash.rarest(x, 0.8, known).view(np.int64))
+    cols = [np.array(c, np.int64) for c in zip(*held)]
+    t = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cols[2])], ["h", "size", "id", "root"])
+    monkeypatch.setattr(simhash, "_PAIRS", 7)
+    n, least = {}, {}
+    for r in simhash._sharing((t.slice(k, 50) for k in range(0, len(held), 50)), 0.8):
+        for a, b, times, need in zip(*(c.to_pylist() for c in r.columns)):
+            n[a, b], least[a, b] = n.get((a, b), 0) + times, need
+    assert all(n[x] >= least[x] >= 1 for x in linked)
+
+
 def brute_cut(rows):
     first = {}
     for i, t in rows:
