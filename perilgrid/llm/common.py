@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _scratch: dict[str, tuple[SparkSession, str]] = {}
+_kept: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,10 +73,25 @@ def _clean() -> None:
             return
 
 
+def kept(f: Callable) -> Callable:
+    """f, an lru_cache, which a worker keeps for later tasks of the same module only."""
+    _kept[f.__module__] = f.cache_clear
+    return f
+
+
+def forget(but: str) -> None:
+    """Empties the caches of all modules but one."""
+    for module, clear in _kept.items():
+        if module != but:
+            clear()
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a worker, who is kept for later tasks, gives back the memory that it no longer uses."""
+    """run, after which a worker, who is kept for later tasks, gives back the memory that it no longer uses. What
+    other modules' tasks have left in its caches goes first."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -105,6 +122,18 @@ def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterato
         yield start, len(texts), texts[start:]
 
 
+def text_slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, without copies, whose texts in the columns hold at most most_bytes together; a row
+    with more stands alone."""
+    upto = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    start = 0
+    while start < batch.num_rows:
+        held = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, held + most_bytes, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Of rows sorted by key: tables that hold whole groups only, a batch's worth at a time."""
     held: list[pa.RecordBatch] = []

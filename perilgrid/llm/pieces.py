@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import kept, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -211,6 +211,7 @@ class _Parts(dict):
         return value
 
 
+@kept
 @lru_cache(maxsize=2)
 def pieces(path: str = MODEL) -> Pieces:
     return Pieces(path)

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, release, save, sorted_groups, tidied, utf8
+from .common import connected_components, drop, release, save, sorted_groups, text_slices, tidied, utf8
 
 RADIUS = 3
 _SLICE = 1 << 15
@@ -127,7 +128,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the grid finds links of up to {RADIUS} differing bits")
     cells = fps.select("fp", F.explode(_cells()).alias("cell")).select("cell", "fp")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _links(batches, radius), "a bigint, b bigint")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidied(lambda batches: _links(batches, radius)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -163,8 +164,13 @@ WIDE = 20
 #: One text in so many is read for frequent shingles, and how many of them are known at most. They give the
 #: order of the shingles only: any order finds all pairs, one by rarity compares fewer.
 SAMPLE, FREQUENT = 16, 100_000
+#: Of the pairs that share enough of the rarest shingles, one in so many is compared at first, chosen by the
+#: ids. That joins large groups, so that of the others only those between groups are left to compare.
+EARLY = 16
 #: Pairs that a task looks at together.
 _PAIRS = 1 << 19
+#: Bytes of text that a task holds as single values.
+_TEXT = 1 << 22
 
 
 def sections(hashes: np.ndarray) -> list[int]:
@@ -186,7 +192,7 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and numbers of the shingles that several of a sample of rows(key, text) have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, ["text"], _TEXT)):
             for t in utf8(b.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, shingle)).view(np.int64))], ["h"])
 
@@ -221,7 +227,7 @@ def _sketches(rows: DataFrame, shingle: int, least: float, frequent: tuple[np.nd
     fingerprint, those of its sections, the number of its distinct shingles and the rarest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, ["text"], _TEXT)):
             same, fps, parts, sizes, rare = [], [], [], [], []
             for t in utf8(b.column("text")):
                 h = shingles(t, shingle)
@@ -243,7 +249,7 @@ def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     least or more, compared whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, ["x", "y"], _TEXT)):
             keep = []
             for x, y in zip(utf8(b.column("x")), utf8(b.column("y"))):
                 x, y = (np.unique(shingles(t, shingle)) for t in (x, y))
@@ -255,10 +261,17 @@ def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
-def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _chosen(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
+    """Whether a pair of ids is one of one in share pairs, the same ones wherever it is met."""
+    x = np.minimum(a, b).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a, b).view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) % np.uint64(share) == 0
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], least: float, share: int = 1) -> Iterator[pa.RecordBatch]:
     """(a, b, n, need) of rows (h, size, id, root), sorted by h, size and id: n of the rarest hashes are
     shared by ids of different roots, need of which sets of a similarity of least or more share. All that
-    they share in the longer rest of the two sets isn't enough without them."""
+    they share in the longer rest of the two sets isn't enough without them. Of one in share pairs."""
     for t in sorted_groups(batches, "h"):
         h, size, ids, root = (t.column(c).to_numpy() for c in ("h", "size", "id", "root"))
         start = np.r_[0, np.flatnonzero(np.diff(h)) + 1]
@@ -275,6 +288,8 @@ def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             i = np.repeat(own[p:q], count)
             j = np.arange(lo, hi) + np.repeat(own[p:q] + 1 - before, count)
             can = (root[i] != root[j]) & (size[i] > rest[j])
+            if share > 1:
+                can &= _chosen(ids[i], ids[j], share)
             i, j = i[can], j[can]
             if len(i):
                 need = _at_least(least / (1 + least) * (size[i].astype(np.int64) + size[j])) - np.maximum(rest[i], rest[j])
@@ -284,6 +299,28 @@ def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([a, b, pa.array(times.astype(np.int64)), need], ["a", "b", "n", "need"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each a of a batch (a, b, n, need), sorted by a: the others are lists."""
+    for t in batches:
+        first = np.flatnonzero(np.r_[True, np.diff(t.column("a").to_numpy()) != 0])
+        upto = pa.array(np.r_[first, t.num_rows].astype(np.int32))
+        lists = (pa.ListArray.from_arrays(upto, t.column(c).cast(kind)) for c, kind in (("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32())))
+        yield pa.RecordBatch.from_arrays([t.column("a").take(pa.array(first)), *lists], ["a", "b", "n", "need"])
+
+
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) that have n of need or more in all, of rows (a, b, n, need) as of _packed, sorted by a."""
+    for t in sorted_groups(batches, "a"):
+        t = t.combine_chunks()
+        a = np.repeat(t.column("a").to_numpy(), pc.list_value_length(t.column("b")).to_numpy())
+        b, n, need = (pc.list_flatten(t.column(c)).to_numpy() for c in ("b", "n", "need"))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)])
+        own = first[np.add.reduceat(n[order], first) >= need[order][first]]
+        yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], ["a", "b"])
+
+
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id, of equal or null ones
     that with the smallest key of doc_id, source and text. Rows with a null doc_id go if their group
@@ -300,8 +337,10 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     These join nearly all. What they leave out is found by an exact way: in one order of all shingles,
     sets of that similarity share some of their first (``rarest``), so all texts of different groups
-    that share as many as they have to, by their sizes, are compared too. That costs the square of the
-    groups that share a shingle which is rare in each of their texts.
+    that share as many as they have to, by their sizes, are compared too. One in EARLY of these pairs is
+    compared with the first ones, so that groups of many similar texts are joined before the others are
+    made. That leaves the square of the groups that share a shingle which is rare in each of their texts
+    without being joined.
 
     Null texts are as empty ones, and all texts without words are equal. An empty table gives an empty
     result. Other columns stay."""
@@ -341,7 +380,7 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         """Of pairs that meet, those that are similar."""
         pairs, pairs_path = save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         # texts of those pairs only, then the pairs with both of them
-        wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", F.col("row.key").alias("_key"))
+        wanted = classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").select("id", F.col("row.key").alias("_key"))
         texts, texts_path = save(rows.select("_key", text.alias("t")).join(wanted, "_key").select("id", "t").dropDuplicates(["id"]), "compared")
         release(spark)
         sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
@@ -349,14 +388,19 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         drop(spark, pairs_path, texts_path)
         return found
 
-    roots = connected_components(linked(shared.unionByName(ends).unionByName(alike))).withColumnRenamed("node", "id")
+    def meeting(of: DataFrame, share: int) -> DataFrame:
+        """Pairs of texts with different roots that share enough of the rarest shingles, of one in share pairs."""
+        sharing = of.select("size", "id", "root", F.explode("rare").alias("h")).select("h", "size", "id", "root")
+        run = tidied(lambda batches: _packed(_sharing(batches, similarity, share)))
+        met = sharing.repartition("h").sortWithinPartitions("h", "size", "id").mapInArrow(run, "a bigint, b array<bigint>, n array<int>, need array<int>")
+        return met.repartition("a").sortWithinPartitions("a").mapInArrow(tidied(_enough), "a bigint, b bigint")
+
+    early = meeting(classes.withColumn("root", F.col("id")), EARLY)
+    roots = connected_components(linked(shared.unionByName(ends).unionByName(alike).unionByName(early))).withColumnRenamed("node", "id")
     drop(spark, sketch_path, least_path, fp_path)
     named, _ = save(classes.select("id", "row", "size", "rare").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "groups")
     # the rest, by the rarest shingles
-    sharing = named.select("size", "id", "root", F.explode("rare").alias("h")).select("h", "size", "id", "root")
-    met = sharing.repartition("h").sortWithinPartitions("h", "size", "id").mapInArrow(lambda batches: _sharing(batches, similarity), "a bigint, b bigint, n bigint, need bigint")
-    met = met.groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need")
-    rest = linked(met)
+    rest = linked(meeting(named, 1))
     for c in ("a", "b"):
         rest = rest.join(named.select(F.col("id").alias(c), F.col("root").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
     joined = connected_components(rest.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))

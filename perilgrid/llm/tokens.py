@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import kept, tidied
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that this public vocabulary was made with.
@@ -26,6 +26,7 @@ _BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LONG_BLANK = re.compile(_BLANK + "{2000,}")
 
 
+@kept
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:

@@ -5,13 +5,14 @@ import hashlib
 import itertools
 import os
 import random
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
-from perilgrid.llm import chat, langid, mixing, pieces, simhash, substring, tokens, vectors, warc
+from perilgrid.llm import chat, common, langid, mixing, pieces, simhash, substring, tokens, vectors, warc
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id string, rid string, fp string, size string"
@@ -149,6 +150,46 @@ def test_representatives_lose_no_similar_pair(spark, monkeypatch):
     assert all(n[x] >= least[x] >= 1 for x in linked)
 
 
+def test_rarest_shingles_are_counted_in_lists():
+    rnd = random.Random(5)
+    base = words(rnd, 60)
+    sets = []
+    for _ in range(80):
+        w = list(base)
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(60)] = f"new{rnd.randrange(10**6)}"
+        sets.append(np.unique(simhash.shingles(" ".join(w).encode(), 5)))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held = sorted((int(h), len(x), i, i % 7) for i, x in enumerate(sets) for h in simhash.rarest(x, 0.8, none).view(np.int64))
+    t = pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*held)], ["h", "size", "id", "root"])
+
+    def found(share):
+        met = simhash._packed(simhash._sharing((t.slice(k, 90) for k in range(0, len(held), 90)), 0.8, share))
+        met = pa.Table.from_batches(met).sort_by("a")
+        assert met.num_rows < sum(map(len, met.column("b").to_pylist())) / 2  # lists, not a row for each pair
+        return {x for b in simhash._enough(iter(met.to_batches(50))) for x in zip(*(c.to_pylist() for c in b.columns))}
+
+    every = found(1)
+    assert all((a, b) in every for a, b in itertools.combinations(range(80), 2) if a % 7 != b % 7 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])))
+    a, b = (np.array(x) for x in zip(*sorted(every)))
+    early = {x for x, take in zip(sorted(every), simhash._chosen(a, b, 4)) if take}
+    assert found(4) == early and len(every) / 8 < len(early) < len(every) / 2
+    assert (simhash._chosen(a, b, 4) == simhash._chosen(b, a, 4)).all()
+
+
+def test_a_worker_holds_few_texts_and_no_other_modules_caches():
+    texts = ["x" * n for n in (5, 0, 30, 4, 4, 4, 100, 1)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts), pa.array(texts[::-1])], ["i", "x", "y"])
+    parts = list(common.text_slices(b, ["x", "y"], 40))
+    assert pa.Table.from_batches(parts).to_pylist() == b.to_pylist() and not list(common.text_slices(b.slice(0, 0), ["x"], 40))
+    assert all(p.num_rows == 1 or sum(len(v or "") for c in ("x", "y") for v in p.column(c).to_pylist()) <= 40 for p in parts)
+    cache = common.kept(lru_cache(lambda x: [x]))
+    cache(1)
+    list(common.tidied(simhash._packed)(iter([])))
+    assert cache.cache_info().currsize == 0
+    assert common._kept.pop(cache.__module__) and pieces.__name__ in common._kept
+
+
 def brute_cut(rows):
     first = {}
     for i, t in rows:
